@@ -50,7 +50,7 @@ def comment_sex(lines: Column) -> Column:
 
 def drop_blacklisted(labels: Column, blacklist: Sequence[str] = DIAGNOSIS_BLACKLIST) -> Column:
     """trim names and remove the listed ones."""
-    return F.filter(F.transform(labels, F.trim), lambda x: ~x.isin(*blacklist))
+    return F.filter(F.transform(labels, lambda x: F.trim(x)), lambda x: ~x.isin(*blacklist))
 
 
 def literal_list(c: str | Column, element: str = "string") -> Column:
