@@ -333,7 +333,7 @@ def agg_predictions(spark, sf):
 
 
 def _sliced_auroc(rows, by, weight=None):
-    return M.auroc(rows, by, weight, slice_by=B.score_slice())
+    return M.auroc(rows, by, weight, slice_by=B.score_slice(descending=True))
 
 
 @query()

@@ -39,34 +39,39 @@ def score_counts(pred: DataFrame, by: Sequence[str] = LABEL, weight: str | None
     )
 
 
-def auroc(
+def class_areas(
     pred: DataFrame, by: Sequence[str] = LABEL, weight: str | None = None, slice_by: Column | None = None
 ) -> DataFrame:
-    """Area under the ROC with ties merged, null with one outcome only.
+    """``auroc`` and ``aupr`` per group in one pass over the scores.
 
-    Each positive counts the negatives below it and half of those beside it.
-    ``by`` without the label gives the pooled (micro) area.
+    Scores are walked downwards. Each negative counts the positives above it
+    and half of those beside it; each positive adds the precision at its
+    score. Equal scores are merged. An area without both outcomes (or without
+    positives) is null. ``slice_by`` must not decrease while the score falls.
     """
     counts = score_counts(pred, by, weight)
-    ranked = running_sum(counts, by, ["score"], {"below": F.col("neg")}, slice_by=slice_by)
-    wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
-    area = _ratio(wins, F.sum("pos") * F.sum("neg"))
-    return ranked.groupBy(*by).agg(area.alias("value"))
+    ranked = running_sum(
+        counts, by, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, inclusive=True, slice_by=slice_by
+    )
+    wins = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
+    gain = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    return ranked.groupBy(*by).agg(
+        _ratio(wins, F.sum("pos") * F.sum("neg")).alias("auroc"), _ratio(gain, F.sum("pos")).alias("aupr")
+    )
 
 
-def average_precision(
+def auroc(
     pred: DataFrame, by: Sequence[str] = LABEL, weight: str | None = None, slice_by: Column | None = None
 ) -> DataFrame:
-    """Uninterpolated average precision with ties merged, null without positives.
+    """Area under the ROC; ``by`` without the label is the pooled area."""
+    return class_areas(pred, by, weight, slice_by).select(*by, F.col("auroc").alias("value"))
 
-    ``slice_by`` must not decrease while the score falls.
-    """
-    counts = score_counts(pred, by, weight)
-    ranked = running_sum(
-        counts, by, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, inclusive=True, slice_by=slice_by
-    )
-    gain = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    return ranked.groupBy(*by).agg(_ratio(gain, F.sum("pos")).alias("value"))
+
+def average_precision(
+    pred: DataFrame, by: Sequence[str] = LABEL, weight: str | None = None, slice_by: Column | None = None
+) -> DataFrame:
+    """Uninterpolated average precision."""
+    return class_areas(pred, by, weight, slice_by).select(*by, F.col("aupr").alias("value"))
 
 
 def macro(per_label: DataFrame, by: Sequence[str] = (), undefined: float | None = 0.5) -> DataFrame:
@@ -78,11 +83,9 @@ def macro(per_label: DataFrame, by: Sequence[str] = (), undefined: float | None
 def curve_points(pred: DataFrame, by: Sequence[str] = LABEL) -> DataFrame:
     """E5: ROC and precision-recall points, one per threshold ``score >= t``."""
     counts = score_counts(pred, by)
-    ranked = running_sum(
-        counts, by, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, inclusive=True
-    )
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    points = ranked.join(totals, list(by))
+    points = running_sum(
+        counts, by, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, inclusive=True, totals=True
+    ).withColumnsRenamed({"tp_total": "p", "fp_total": "n"})
     return points.select(
         *by,
         F.col("score").alias("threshold"),
@@ -102,9 +105,8 @@ def macro_roc(pred: DataFrame) -> DataFrame:
     """
     by = ["label"]
     counts = score_counts(pred, by)
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).where("p > 0 and n > 0")
-    ranked = running_sum(counts, by, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
-    steps = ranked.join(totals, by)
+    steps = running_sum(counts, by, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, totals=True)
+    steps = steps.withColumnsRenamed({"tp_total": "p", "fp_total": "n"}).where("p > 0 and n > 0")
     x0 = F.col("fp") / F.col("n")
     x1 = (F.col("fp") + F.col("neg")) / F.col("n")
     rise = F.col("pos") / F.col("p")
@@ -131,7 +133,8 @@ def macro_roc(pred: DataFrame) -> DataFrame:
         {"jumps": F.col("jump"), "bends": F.col("bend"), "leans": F.col("lean")},
         inclusive=True,
     )
-    labels = totals.agg(F.count(F.lit(1))).scalar()
+    # Every curve starts with one step at rate zero.
+    labels = steps.where("tp = 0 and fp = 0").agg(F.count(F.lit(1))).scalar()
     height = F.col("jumps") + F.col("fpr") * F.col("bends") - F.col("leans")
     return summed.select("fpr", (height / labels).alias("tpr"))
 
@@ -259,9 +262,9 @@ def threshold_search(
     at which ``score > t`` meets the goal; -1 when none does.
     """
     counts = score_counts(pred, by)
-    ranked = running_sum(counts, by, ["score"], {"pos_le": F.col("pos"), "neg_le": F.col("neg")}, inclusive=True)
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    rows = ranked.join(totals, list(by))
+    rows = running_sum(
+        counts, by, ["score"], {"pos_le": F.col("pos"), "neg_le": F.col("neg")}, inclusive=True, totals=True
+    ).withColumnsRenamed({"pos_le_total": "p", "neg_le_total": "n"})
     if metric == "sensitivity":
         value = _ratio(F.col("p") - F.col("pos_le"), F.col("p"))
     elif metric == "specificity":

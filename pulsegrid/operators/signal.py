@@ -84,15 +84,16 @@ def normalise_record(sig: DataFrame, by: Sequence[str] = RECORD, skip: Sequence
 def fit_apply_scaler(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
     """Standardise with the mean and population std of training rows."""
     fits = F.struct(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
+        *[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.stddev_pop(f"`{c}`").alias(f"s{i}") for i, c in enumerate(columns)],
     )
-    fitted = df.where(train).agg(fits.alias("fit")).scalar()
+    # One struct column: the subquery appears once, however many columns scale.
+    fitted = df.withColumn("_fit", df.where(train).agg(fits.alias("fit")).scalar())
     scaled = {}
     for i, c in enumerate(columns):
-        std = fitted[f"s{i}"]
-        scaled[c] = (F.col(c) - fitted[f"m{i}"]) / F.when(std == 0, F.lit(1.0)).otherwise(std)
-    return df.withColumns(scaled)
+        std = F.col(f"_fit.s{i}")
+        scaled[c] = (F.col(f"`{c}`") - F.col(f"_fit.m{i}")) / F.when(std == 0, F.lit(1.0)).otherwise(std)
+    return fitted.withColumns(scaled).drop("_fit")
 
 
 def resample_linear(

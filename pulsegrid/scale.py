@@ -28,9 +28,13 @@ def running_sum(
     sums: Mapping[str, Column],
     inclusive: bool = False,
     slice_by: Column | None = None,
+    totals: bool = False,
 ) -> DataFrame:
     """Add running sums per ``by`` group in ``order``.
 
+    With ``totals`` each sum also gets a ``<name>_total`` column for its group,
+    taken from the slice totals, so the input is not read again.
+
     ``slice_by`` is an integer expression that never decreases along ``order``
     (a day number, a block of a position); it is evaluated in place. Without
     it the rows are range-partitioned on ``by + order`` and the layout is
@@ -53,10 +57,14 @@ def running_sum(
     grouped = by or [one]
     if not by:
         work = work.withColumn(one, F.lit(0))
-    totals = work.groupBy(*grouped, SLICE).agg(*[F.sum(w).alias(w) for w in weights])
+    parts = work.groupBy(*grouped, SLICE).agg(*[F.sum(w).alias(w) for w in weights])
     before = Window.partitionBy(*grouped).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *grouped, SLICE, *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"_o{w}") for w in weights]
+    extra = []
+    if totals:
+        whole = Window.partitionBy(*grouped).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        extra = [F.sum(w).over(whole).alias(f"_t{w}") for w in weights]
+    offsets = parts.select(
+        *grouped, SLICE, *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"_o{w}") for w in weights], *extra
     )
     inner = (
         Window.partitionBy(*grouped, SLICE)
@@ -66,7 +74,9 @@ def running_sum(
     local = work.withColumns({f"_l{w}": F.coalesce(F.sum(w).over(inner), F.lit(0)) for w in weights})
     joined = local.join(offsets, [*grouped, SLICE])
     return joined.select(
-        *df.columns, *[(F.col(f"_l_w_{out}") + F.col(f"_o_w_{out}")).alias(out) for out in sums]
+        *df.columns,
+        *[(F.col(f"_l_w_{out}") + F.col(f"_o_w_{out}")).alias(out) for out in sums],
+        *([F.col(f"_t_w_{out}").alias(f"{out}_total") for out in sums] if totals else []),
     )
 
 
@@ -133,12 +143,8 @@ def exact_quantiles(
         .groupBy(*by, F.col(value).cast("double").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running_sum(counts, by, ["_x"], {"_before": F.col("_n")})
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    if by:
-        ranked = ranked.join(sizes, by)
-    else:
-        ranked = ranked.withColumn("_size", sizes.scalar())
+    ranked = running_sum(counts, by, ["_x"], {"_before": F.col("_n")}, totals=True)
+    ranked = ranked.withColumnRenamed("_before_total", "_size")
     aggs = []
     for name, q in quantiles.items():
         at = F.lit(float(q)) * (F.col("_size") - 1)
