@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.labels import index_names, multi_hot
@@ -81,14 +81,37 @@ def fraction_slice(df: DataFrame, patient: str, order: str, low: float, high: fl
     kept = df.where(labelled).join(chosen, patient, "left_semi")
     rest = df.where(~labelled)
     m = rest.agg(F.count(F.lit(1))).scalar()
-    others = position(rest, [], [order], "_rank").where(inside(F.col("_rank"), m)).drop("_rank")
+    # Only the order column is ranked; its two limits then filter the rows.
+    span = position(rest.select(order), [], [order], "_rank").where(inside(F.col("_rank"), m))
+    limits = rest.withColumn("_span", span.agg(F.struct(F.min(order).alias("lo"), F.max(order).alias("hi"))).scalar())
+    others = limits.where(F.col(order).between(F.col("_span.lo"), F.col("_span.hi"))).drop("_span")
     return align_union(kept, others)
 
 
 def sample_exact(df: DataFrame, n: int, record: str, seed: int) -> DataFrame:
-    """O2: exactly ``n`` rows (or all) without replacement, in any cluster."""
-    ranked = position(df.withColumn("_h", seeded_hash(seed, record)), [], ["_h", record], "_rank")
-    return ranked.where(F.col("_rank") < n).drop("_rank", "_h")
+    """O2: exactly ``n`` rows (or all) without replacement, in any cluster.
+
+    The rows with the smallest hashes are taken. Counts per hash prefix (at
+    most 65,536) show where the sample ends; only rows of that one prefix are
+    ranked, all others pass a plain filter.
+    """
+    if n <= 0:
+        return df.limit(0)
+    hashed = df.withColumn("_h", seeded_hash(seed, record)).withColumn("_p", F.shiftright("_h", 48))
+    sizes = hashed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    cut_row = (
+        sizes.withColumn("_upto", F.sum("_n").over(upto))
+        .where(F.col("_upto") >= n)
+        .agg(F.min_by(F.struct("_p", (F.lit(n) - F.col("_upto") + F.col("_n")).alias("left")), "_p"))
+        .first()[0]
+    )
+    if cut_row is None:
+        return df
+    inside = hashed.where(F.col("_p") < cut_row["_p"])
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_h", record))
+    edge = hashed.where(F.col("_p") == cut_row["_p"]).withColumn("_r", rank).where(F.col("_r") <= cut_row["left"])
+    return inside.unionByName(edge.drop("_r")).drop("_h", "_p")
 
 
 def ordered(df: DataFrame, columns: Sequence[str | Column]) -> DataFrame:

@@ -156,15 +156,20 @@ def align_blocks(
     """Match block rows to metadata rows by position.
 
     Blocks are laid out in the given split order, rows inside by ``order``;
-    the metadata is numbered by ``meta_order``. Rows past the metadata drop.
+    the metadata is numbered by ``meta_order``. Both orders are unique keys
+    with names of their own. Rows past the metadata drop.
     """
     known = blocks.where(F.col(split).isin(*splits))
     rank = F.lit(len(splits))
     for i, s in reversed(list(enumerate(splits))):
         rank = F.when(F.col(split) == s, i).otherwise(rank)
-    placed = position(known.withColumn("_split_rank", rank), [], ["_split_rank", *order], "_at").drop("_split_rank")
-    numbered = position(meta, [], list(meta_order), "_at").drop(*[c for c in meta.columns if c in blocks.columns])
-    return placed.join(numbered, "_at").withColumnRenamed("_at", "meta_idx")
+    # Rank the keys alone: blocks may carry whole waveforms.
+    keys = [split, *order]
+    placed = position(known.select(*keys).withColumn("_split_rank", rank), [], ["_split_rank", *order], "meta_idx")
+    numbered = position(meta.select(*meta_order), [], list(meta_order), "meta_idx")
+    rows = meta.drop(*[c for c in meta.columns if c in blocks.columns and c not in meta_order])
+    matched = placed.drop("_split_rank").join(numbered, "meta_idx").join(rows, list(meta_order))
+    return matched.join(known, keys)
 
 
 def pending(tasks: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:
