@@ -186,8 +186,9 @@ def split_failures(
     """
     failed = results.where(F.col(error).isNotNull())
     if not skip_errors:
-        stop = F.when(F.col(error).isNotNull(), F.raise_error(F.col(error)).cast("string"))
-        return results.withColumn(error, stop).drop(error).orderBy(*order), failed
+        # In a filter, so dropping the column cannot prune the check away.
+        clean = F.when(F.col(error).isNull(), True).otherwise(F.raise_error(F.col(error)).cast("boolean"))
+        return results.where(clean).drop(error).orderBy(*order), failed
     return results.where(F.col(error).isNull()).drop(error).orderBy(*order), failed
 
 
