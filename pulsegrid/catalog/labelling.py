@@ -481,3 +481,88 @@ def split_leaks(spark, sf):
     """K8: patients found in more than one split."""
     rows = table(spark, sf, "part").where("p_size = 7").select(F.col("p_brand").alias("patient"), (F.col("p_partkey") % 3).alias("split"))
     return K.split_leaks(rows, "patient", "split")
+
+
+def _shares(rows, fold, folds):
+    """Rows per label and whether each fold holds its part within five points."""
+    long = rows.select(fold, F.explode("labels").alias("label"))
+    counts = long.groupBy("label").pivot(fold, list(range(folds))).count().fillna(0)
+    total = sum((F.col(str(i)) for i in range(folds)), F.lit(0))
+    close = F.lit(True)
+    for i in range(folds):
+        close = close & (F.abs(F.col(str(i)) / total - 1.0 / folds) <= 0.05)
+    return counts.select("label", total.cast("long").alias("total"), (close | (total < 10 * folds)).alias("balanced"))
+
+
+@query("WITH " + LAB_LONG + " SELECT label, count(*) AS total, true AS balanced FROM lab_long GROUP BY 1")
+def stratified_contract(spark, sf):
+    """K1: every label is spread evenly and no row is lost."""
+    return _shares(K.stratified_folds(lab(spark, sf), "p_partkey", "labels", _FIVE, 7), "strat_fold", 5)
+
+
+@query("WITH " + LAB_LONG + " SELECT label, count(*) AS total, true AS balanced FROM lab_long GROUP BY 1")
+def batched_contract(spark, sf):
+    """K3: hash batches keep the shares."""
+    return _shares(K.stratified_folds(lab(spark, sf), "p_partkey", "labels", _FIVE, 7, buckets=2), "strat_fold", 5)
+
+
+@query("SELECT count(DISTINCT p_brand || '-' || p_size) AS patients, count(*) AS rows, CAST(0 AS BIGINT) AS leaks, CAST(0 AS BIGINT) AS unassigned FROM part")
+def group_contract(spark, sf):
+    """K2: every patient lies in one fold and every row has one."""
+    rows = group_stratified_folds(spark, sf)
+    per = rows.groupBy("patient").agg(F.count_distinct("strat_fold").alias("folds"), F.count(F.lit(1)).alias("n"), F.min("strat_fold").alias("low"))
+    return per.agg(
+        F.count(F.lit(1)).alias("patients"), F.sum("n").alias("rows"),
+        F.count_if(F.col("folds") > 1).alias("leaks"), F.count_if(F.col("low") < 0).alias("unassigned"),
+    )
+
+
+@query(
+    """WITH p AS (SELECT count(DISTINCT o_custkey) AS n FROM orders), r AS (SELECT unnest(range(0, n)) AS k, n FROM p)
+SELECT CAST(k * 5 // n AS INTEGER) AS strat_fold, count(*) AS patients FROM r GROUP BY 1"""
+)
+def kfold_contract(spark, sf):
+    """K6: fold sizes in patients."""
+    return patient_kfold(spark, sf).groupBy("strat_fold").agg(F.count_distinct("o_custkey").alias("patients"))
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey, CASE WHEN o_custkey % 8 = 0 THEN o_custkey ELSE -o_orderkey END AS patient FROM orders),
+m AS (SELECT *, count(*) OVER (PARTITION BY patient) > 1 AS multi FROM p)
+SELECT CAST(count(*) FILTER (multi) AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS repeated_outside,
+  CAST(greatest(floor(count(*) * 0.2), count(*) FILTER (multi)) AS BIGINT) AS held FROM m"""
+)
+def holdout_contract(spark, sf):
+    """K9: all repeated patients are held out and the share is met exactly."""
+    from pulsegrid.operators.reshape import duplicate_flag
+
+    rows = duplicate_flag(holdout_repeats(spark, sf), ["patient"], "multi")
+    return rows.agg(
+        F.count_if("multi").alias("repeated"),
+        F.count_if(F.col("multi") & (F.col("orig_fold") == 0)).alias("repeated_outside"),
+        F.count_if(F.col("orig_fold") == 1).alias("held"),
+    )
+
+
+@query(
+    """WITH p AS (SELECT p_partkey // 3 AS patient, CASE WHEN p_partkey // 3 % 10 = 9 THEN 'test' WHEN p_partkey // 3 % 10 = 8 THEN 'val' ELSE 'train' END AS split FROM part)
+SELECT split, CASE WHEN split = 'test' THEN count(*) END AS kept_whole, true AS one_per_patient, true AS near_share FROM p GROUP BY split"""
+)
+def label_efficiency_contract(spark, sf):
+    """K5: test untouched; other splits hold about a quarter of the patients, one record each."""
+    sizes = _patients(spark, sf).groupBy("split").agg(F.count_distinct("patient").alias("all"))
+    got = label_efficiency(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("patient").alias("p"))
+    test = F.col("split") == "test"
+    return got.join(sizes, "split").select(
+        "split", F.when(test, F.col("n")).alias("kept_whole"),
+        (test | (F.col("n") == F.col("p"))).alias("one_per_patient"),
+        (test | (F.abs(F.col("p") / F.col("all") - 0.25) <= 0.15)).alias("near_share"),
+    )
+
+
+@query("SELECT count(DISTINCT p_partkey // 3) AS patients, true AS known FROM part")
+def first_record_contract(spark, sf):
+    """One existing record for every patient."""
+    picked = first_per_patient(spark, sf)
+    known = F.col("patient") == F.floor(F.col("p_partkey") / 3)
+    return picked.agg(F.count_distinct("patient").alias("patients"), (F.bool_and(known) & (F.count(F.lit(1)) == F.count_distinct("patient"))).alias("known"))

@@ -343,6 +343,33 @@ def bootstrap_auroc(spark, sf):
     return bounds.select("label", *[r6(c).alias(c) for c in ("value", "low", "high")], "nulls")
 
 
+@query("WITH " + KNOWN + _AUC + " SELECT label, round(value, 6) + 0.0 AS value, true AS inside, CAST(0 AS BIGINT) AS nulls FROM pairs")
+def bootstrap_contract(spark, sf):
+    """The point value lies inside its interval."""
+    bounds, _ = B.empirical_interval(pred(spark, sf), _sliced_auroc, replicates=40, seed=42)
+    return bounds.select("label", r6("value").alias("value"), F.col("value").between(F.col("low"), F.col("high")).alias("inside"), "nulls")
+
+
+@query("SELECT CAST(r AS INTEGER) AS replicate, (SELECT count(*) FROM documents) AS drawn, true AS known FROM (SELECT unnest(range(0, 6)) AS r)")
+def draw_contract(spark, sf):
+    """O3: every replicate draws as many rows as there are samples."""
+    rows = pred(spark, sf)
+    numbered, size = B.numbered_samples(rows)
+    return B.draws(spark, size, 6, 42).join(numbered, "idx", "left").groupBy("replicate").agg(
+        F.sum("weight").cast("long").alias("drawn"), F.bool_and(F.col("sample_id").isNotNull()).alias("known")
+    )
+
+
+@query(
+    "WITH " + KNOWN + _AUC + " SELECT label, round(2 * value - 1, 6) + 0.0 AS value, true AS inside FROM pairs"
+)
+def paired_contract(spark, sf):
+    """The difference of a score and its reverse is twice the area less one."""
+    rows = pred(spark, sf)
+    bounds, _ = B.empirical_interval(rows, _sliced_auroc, replicates=20, seed=42, other=rows.withColumn("score", 1.0 - F.col("score")))
+    return bounds.select("label", r6("value").alias("value"), F.col("value").between(F.col("low"), F.col("high")).alias("inside"))
+
+
 @query()
 def bootstrap_paired(spark, sf):
     """Interval of the difference of two scores on the same draws."""
@@ -369,7 +396,10 @@ def bootstrap_poisson(spark, sf):
     return repeated.groupBy("label").agg(r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("spread"))
 
 
-@query()
+@query(
+    "WITH " + PRED + " SELECT CAST(e AS INTEGER) AS epoch, label AS metric, label || '_auc_noagg_test0' AS logged_metric, CAST(5 AS BIGINT) AS n"
+    " FROM (SELECT DISTINCT label FROM pred), (SELECT unnest([1, 2]) AS e)"
+)
 def replicate_sink(spark, sf):
     """Replicate values appended to a log twice and counted."""
     path = scratch_path(spark, "replicates")

@@ -369,6 +369,24 @@ def annotation_align(spark, sf):
     return C.take_samples(notes, spans, block=64).select("record_id", "crop_start", "t", "mark")
 
 
+@query(
+    "WITH " + _CHUNKS.format(step=16, size=16, least=9)
+    + " SELECT record_id, CAST(count(*) * 2 AS BIGINT) AS crops, true AS inside, true AS repeatable FROM chunks GROUP BY 1"
+)
+def random_crop_contract(spark, sf):
+    """T5: every crop lies inside its chunk and is drawn again alike."""
+    chunks = C.chunk_index(sig_lengths(spark, sf), chunk_length=16, min_chunk_length=9).drop("data_length")
+    bounds = chunks.select("record_id", "chunk", F.col("start_idx").alias("lo"), F.col("end_idx").alias("hi"))
+    crops = C.random_crop(chunks, 9, ["record_id"], 42, items=2)
+    again = C.random_crop(chunks.repartition(3), 9, ["record_id"], 42, items=2)
+    again = again.select("record_id", "chunk", "item", F.col("start_idx").alias("again"))
+    joined = crops.join(bounds, ["record_id", "chunk"]).join(again, ["record_id", "chunk", "item"])
+    inside = (F.col("start_idx") >= F.col("lo")) & (F.col("end_idx") <= F.col("hi")) & (F.col("end_idx") - F.col("start_idx") == 9)
+    return joined.groupBy("record_id").agg(
+        F.count(F.lit(1)).alias("crops"), F.bool_and(inside).alias("inside"), F.bool_and(F.col("start_idx") == F.col("again")).alias("repeatable")
+    )
+
+
 @query()
 def bandpass(spark, sf):
     """Zero-phase band-pass, block by block."""
@@ -376,11 +394,25 @@ def bandpass(spark, sf):
     return out.select("record_id", "t", r6("value").alias("value"))
 
 
-@query()
+_SPECTRUM = """, n AS (SELECT record_id, max(t) AS last FROM sig GROUP BY 1),
+padded AS (SELECT record_id, t + 16 AS p, value FROM sig
+  UNION ALL SELECT record_id, 16 - t, value FROM sig WHERE t BETWEEN 1 AND 16
+  UNION ALL SELECT s.record_id, 2 * n.last + 16 - s.t, s.value FROM sig s JOIN n USING (record_id) WHERE s.t < n.last AND s.t >= n.last - 16),
+spread AS (SELECT record_id, p // 16 - h AS frame, p - (p // 16 - h) * 16 AS i, value FROM padded, (SELECT unnest([0, 1]) AS h)),
+framed AS (SELECT s.record_id, s.frame, s.i, s.value - avg(s.value) OVER (PARTITION BY s.record_id, s.frame) AS x FROM spread s JOIN n USING (record_id)
+  WHERE s.frame >= 0 AND s.frame * 16 + 32 <= n.last + 33),
+bins AS (SELECT unnest(range(0, 17)) AS bin),
+sums AS (SELECT record_id, frame, bin, sum(x * (0.5 - 0.5 * cos(2 * pi() * i / 32)) * cos(2 * pi() * i * bin / 32)) AS re,
+  sum(x * (0.5 - 0.5 * cos(2 * pi() * i / 32)) * sin(2 * pi() * i * bin / 32)) AS im FROM framed, bins GROUP BY 1, 2, 3)
+SELECT record_id, frame, CAST(bin AS INTEGER) AS bin,
+  round(20 * log10((re * re + im * im) * CASE WHEN bin BETWEEN 1 AND 15 THEN 2 ELSE 1 END / (50.0 * 12.0) + 2.220446049250313e-16), 4) + 0.0 AS power FROM sums"""
+
+
+@query("WITH " + SIG + _SPECTRUM)
 def spectrogram(spark, sf):
     """Short-time spectrum of every record."""
     out = G.spectrogram(sig(spark, sf), 50.0, size=32, overlap=16, by=REC, frames_per_block=4)
-    return out.select("record_id", "frame", F.posexplode("power").alias("bin", "power")).withColumn("power", r6("power"))
+    return out.select("record_id", "frame", F.posexplode("power").alias("bin", "power")).withColumn("power", r6("power", 4))
 
 
 @query()

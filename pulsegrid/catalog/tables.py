@@ -512,7 +512,10 @@ def file_audit(spark, sf):
     )
 
 
-@query()
+@query(
+    "SELECT CAST(v + 1 AS INTEGER) AS epoch, (SELECT count(*) * 2 FROM documents) AS n, CAST(v AS VARCHAR) AS version, kind"
+    " FROM (SELECT unnest([0, 1]) AS v), (SELECT unnest(['noagg', 'agg']) AS kind)"
+)
 def versioned_export(spark, sf):
     """Two exports get versions 0 and 1, both kinds of tables each."""
     root = scratch_path(spark, "export")
@@ -726,6 +729,16 @@ def feature_summary(spark, sf):
     return out.select("feature", "min", "max", "nulls", *[r6(c).alias(c) for c in ("median", "q25", "q75")])
 
 
+@query("SELECT CAST(500 AS BIGINT) AS n, CAST(500 AS BIGINT) AS orders, true AS known")
+def sample_contract(spark, sf):
+    """O2: the sample is exact, without repeats, and made of known orders."""
+    orders = table(spark, sf, "orders")
+    picked = J.flag_lookup(hash_sample(spark, sf), orders, ["o_orderkey", "o_custkey"], "known")
+    return picked.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("orders"), F.bool_and(F.col("known") == 1).alias("known")
+    )
+
+
 @query()
 def hash_sample(spark, sf):
     """O2: exactly 500 orders without replacement."""
