@@ -423,27 +423,54 @@ def embed_score(spark, sf):
     return out.select("vec_id", "label", *[r6(F.col("scores")[i], 4).alias(f"s{i}") for i in range(3)])
 
 
-@query()
-def linear_probe(spark, sf):
-    """One probe per class, scored on held-out rows by area."""
+def _probed(spark, sf):
     rows = table(spark, sf, "embeddings")
     targets = [f"class_{i}" for i in range(10)]
     rows = rows.withColumns({t: (F.col("label") == i).cast("int") for i, t in enumerate(targets)})
-    scored = S.linear_probe(rows, "embedding", targets, F.col("vec_id") % 5 != 0, "vec_id", iterations=10, penalty=0.01)
-    return M.auroc(scored).select("label", r6("value", 4).alias("auroc"))
+    return S.linear_probe(rows, "embedding", targets, F.col("vec_id") % 5 != 0, "vec_id", iterations=10, penalty=0.01)
 
 
 @query()
-def contrastive_hit_rate(spark, sf):
-    """M4: loss and hit rate of finding the next vector of the same class."""
+def linear_probe(spark, sf):
+    """One probe per class, scored on held-out rows by area."""
+    return M.auroc(_probed(spark, sf)).select("label", r6("value", 4).alias("auroc"))
+
+
+@query(
+    "SELECT 'class_' || c AS label, count(*) AS held, CAST(count(*) FILTER (label = c) AS BIGINT) AS positives, true AS bounded"
+    " FROM embeddings, (SELECT unnest(range(0, 10)) AS c) WHERE vec_id % 5 = 0 GROUP BY c"
+)
+def probe_contract(spark, sf):
+    """M2: every class scores every held-out row with a probability."""
+    return _probed(spark, sf).groupBy("label").agg(
+        F.count(F.lit(1)).alias("held"), F.sum("target").cast("long").alias("positives"), F.bool_and(F.col("score").between(0, 1)).alias("bounded")
+    )
+
+
+def _retrieved(spark, sf):
     from pulsegrid.scale import position
 
-    rows = position(table(spark, sf, "embeddings").withColumnRenamed("label", "record_id"), ["record_id"], ["vec_id"], "step")
-    steps = rows.select("record_id", "step", F.col("embedding").alias("predicted"), F.col("embedding").alias("encoded"))
-    out = S.retrieval_scores(steps, 1, 16, 42, temperature=0.5, cosine=True)
+    vectors = table(spark, sf, "embeddings").withColumnRenamed("label", "record_id")
+    steps = position(vectors.select("record_id", "vec_id"), ["record_id"], ["vec_id"], "step")
+    steps = steps.join(vectors.select("vec_id", "embedding"), "vec_id")
+    steps = steps.select("record_id", "step", F.col("embedding").alias("predicted"), F.col("embedding").alias("encoded"))
+    return S.retrieval_scores(steps, 1, 16, 42, temperature=0.5, cosine=True)
+
+
+@query()
+def contrastive_hit_rate(spark, sf):
+    """M4: loss and hit rate of finding the next vector of the same class."""
+    out = _retrieved(spark, sf)
     return out.groupBy("record_id").agg(r6(F.avg("loss"), 4).alias("loss"), r6(F.avg("hit")).alias("hit_rate"))
 
 
+@query("SELECT label AS record_id, count(*) - 1 AS anchors, true AS sane FROM embeddings GROUP BY label HAVING count(*) > 1")
+def retrieval_contract(spark, sf):
+    """M4: one positive loss per anchor; a hit or a miss each."""
+    sane = (F.col("loss") > 0) & F.col("hit").isin(0, 1)
+    return _retrieved(spark, sf).groupBy("record_id").agg(F.count(F.lit(1)).alias("anchors"), F.bool_and(sane).alias("sane"))
+
+
 @query()
 def chunk_scores_by_record(spark, sf):
     """Chunks scored, joined per record and evaluated."""

@@ -387,6 +387,31 @@ def random_crop_contract(spark, sf):
     )
 
 
+@query(
+    "WITH RECURSIVE " + SIG + """, k AS (SELECT tan(pi() * 10 / 50) AS k),
+c AS (SELECT k * k / (1 + sqrt(2) * k + k * k) AS b0, 2 * (k * k - 1) / (1 + sqrt(2) * k + k * k) AS a1, (1 - sqrt(2) * k + k * k) / (1 + sqrt(2) * k + k * k) AS a2 FROM k),
+f AS (SELECT record_id, t, c.b0 * value AS y, CAST(0 AS DOUBLE) AS y1, value AS x, CAST(0 AS DOUBLE) AS x1 FROM sig, c WHERE t = 0
+  UNION ALL SELECT s.record_id, s.t, c.b0 * (s.value + 2 * f.x + f.x1) - c.a1 * f.y - c.a2 * f.y1, f.y, s.value, f.x
+  FROM f JOIN sig s ON s.record_id = f.record_id AND s.t = f.t + 1, c)
+SELECT record_id, t, round(y, 6) + 0.0 AS value FROM f"""
+)
+def lowpass_causal(spark, sf):
+    """Causal low-pass of second order, block by block."""
+    out = G.butter_filter(sig(spark, sf), 50.0, high=10.0, order=2, zero_phase=False, by=REC, block=32)
+    return out.select("record_id", "t", r6("value").alias("value"))
+
+
+@query("SELECT count(*) AS n, true AS repeatable, true AS centred FROM events")
+def noise_contract(spark, sf):
+    """Noise has zero mean and the drawn spread, and is drawn again alike."""
+    rows = sig(spark, sf)
+    noisy = rows.withColumn("a", G.gaussian_noise("value", 0.1, 7, ["record_id", "t"]) - F.col("value"))
+    again = rows.repartition(5).select("record_id", "t", (G.gaussian_noise("value", 0.1, 7, ["record_id", "t"]) - F.col("value")).alias("b"))
+    both = noisy.join(again, ["record_id", "t"])
+    near = (F.abs(F.avg("a")) < 0.02) & (F.abs(F.stddev_pop("a") - 0.1) < 0.02)
+    return both.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("a") == F.col("b")).alias("repeatable"), near.alias("centred"))
+
+
 @query()
 def bandpass(spark, sf):
     """Zero-phase band-pass, block by block."""
