@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.session import cut, shuffle_width
+from pulsegrid.session import cut
 
 SLICE = "_slice"
 
@@ -40,15 +40,14 @@ def running_sum(
     it the rows are range-partitioned on ``by + order`` and the layout is
     checkpointed, so totals and rows agree even after a lost executor.
     """
-    spark = df.sparkSession
     by = list(by)
     weights = {f"_w_{out}": w for out, w in sums.items()}
     work = df.withColumns(weights)
     keys = [F.col(k) for k in by]
     order = [_col(c) for c in order]
     if slice_by is None:
-        width = shuffle_width(spark)
-        work = cut(work.repartitionByRange(width, *keys, *order).withColumn(SLICE, F.spark_partition_id()))
+        # No fixed number: adaptive execution sizes the slices by their bytes.
+        work = cut(work.repartitionByRange(*keys, *order).withColumn(SLICE, F.spark_partition_id()))
     else:
         work = work.withColumn(SLICE, slice_by)
 

@@ -60,6 +60,3 @@ def cut(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

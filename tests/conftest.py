@@ -16,5 +16,7 @@ def spark():
     session = get_session("tests", 8)
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "4")
+    # Keep small tables in several slices, so the offsets between them are tested.
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield session
     session.stop()
