@@ -134,8 +134,7 @@ def gap_fill(
     """
     place = F.floor(F.col(t) / F.lit(block)).cast("long")
     known = F.when(F.col(value).isNotNull() & ~F.isnan(value), F.struct(F.col(t).alias("t"), F.col(value).alias("v")))
-    both = carry(sig, by, place, [t], {"_prev": known})
-    both = carry(both, by, place, [t], {"_next": known}, backward=True)
+    both = carry(sig, by, place, [t], last={"_prev": known}, following={"_next": known})
     prev, nxt = F.col("_prev"), F.col("_next")
     share = (F.col(t) - prev["t"]) / (nxt["t"] - prev["t"])
     filled = (

@@ -38,7 +38,8 @@ def running_sum(
     ``slice_by`` is an integer expression that never decreases along ``order``
     (a day number, a block of a position); it is evaluated in place. Without
     it the rows are range-partitioned on ``by + order`` and the layout is
-    checkpointed, so totals and rows agree even after a lost executor.
+    checkpointed, so totals and rows agree even after a lost executor. Group
+    keys are not null: rows with a null key drop out, as in any equi join.
     """
     by = list(by)
     weights = {f"_w_{out}": w for out, w in sums.items()}
@@ -95,37 +96,48 @@ def carry(
     by: Sequence[str],
     slice_by: Column,
     order: Sequence[str | Column],
-    values: Mapping[str, Column],
-    backward: bool = False,
+    last: Mapping[str, Column] | None = None,
+    following: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Last non-null value at or before each row (or first at or after it).
+    """Last non-null value at or before a row, first one at or after it, or both.
 
-    ``slice_by`` must not decrease along ``order`` (given ascending). Works
-    through descending sorts for ``backward``, so every frame only grows.
+    ``slice_by`` must not decrease along ``order`` (given ascending). Looking
+    ahead uses a descending sort, so every frame only grows; both directions
+    share one shuffle and one join of slice ends.
     """
-    by = list(by)
-    work = df.withColumn(SLICE, slice_by).withColumns({f"_v_{o}": v for o, v in values.items()})
-    one = "_one"
-    grouped = by or [one]
+    grouped = list(by) or ["_one"]
+    wanted = [(o, v, False) for o, v in (last or {}).items()] + [(o, v, True) for o, v in (following or {}).items()]
+    work = df.withColumn(SLICE, slice_by).withColumns({f"_v_{o}": v for o, v, _ in wanted})
     if not by:
-        work = work.withColumn(one, F.lit(0))
-    direction = (lambda c: _col(c).desc()) if backward else (lambda c: _col(c).asc())
-    sort = [direction(c) for c in order]
-    inner = Window.partitionBy(*grouped, SLICE).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
-    local = work.withColumns({f"_l_{o}": F.last(f"_v_{o}", ignorenulls=True).over(inner) for o in values})
+        work = work.withColumn("_one", F.lit(0))
+    grow = (Window.unboundedPreceding, 0)
+    lane = Window.partitionBy(*grouped, SLICE)
+    inner = {
+        False: lane.orderBy(*[_col(c).asc() for c in order]).rowsBetween(*grow),
+        True: lane.orderBy(*[_col(c).desc() for c in order]).rowsBetween(*grow),
+    }
+    local = work
+    for ahead in (False, True):
+        cells = {f"_l_{o}": F.last(f"_v_{o}", ignorenulls=True).over(inner[ahead]) for o, _, d in wanted if d == ahead}
+        local = local.withColumns(cells) if cells else local
 
     key = F.struct(*[_col(c) for c in order])
-    pick = F.min_by if backward else F.max_by
     ends = work.groupBy(*grouped, SLICE).agg(
-        *[pick(F.col(f"_v_{o}"), F.when(F.col(f"_v_{o}").isNotNull(), key)).alias(f"_e_{o}") for o in values]
+        *[
+            (F.min_by if ahead else F.max_by)(F.col(f"_v_{o}"), F.when(F.col(f"_v_{o}").isNotNull(), key)).alias(f"_e_{o}")
+            for o, _, ahead in wanted
+        ]
     )
-    slice_order = F.col(SLICE).desc() if backward else F.col(SLICE).asc()
-    earlier = Window.partitionBy(*grouped).orderBy(slice_order).rowsBetween(Window.unboundedPreceding, -1)
+    edge = (Window.unboundedPreceding, -1)
+    outer = {
+        False: Window.partitionBy(*grouped).orderBy(F.col(SLICE).asc()).rowsBetween(*edge),
+        True: Window.partitionBy(*grouped).orderBy(F.col(SLICE).desc()).rowsBetween(*edge),
+    }
     ends = ends.select(
-        *grouped, SLICE, *[F.last(f"_e_{o}", ignorenulls=True).over(earlier).alias(f"_c_{o}") for o in values]
+        *grouped, SLICE, *[F.last(f"_e_{o}", ignorenulls=True).over(outer[ahead]).alias(f"_c_{o}") for o, _, ahead in wanted]
     )
     joined = local.join(ends, [*grouped, SLICE])
-    return joined.select(*df.columns, *[F.coalesce(f"_l_{o}", f"_c_{o}").alias(o) for o in values])
+    return joined.select(*df.columns, *[F.coalesce(f"_l_{o}", f"_c_{o}").alias(o) for o, _, _ in wanted])
 
 
 def exact_quantiles(

@@ -36,7 +36,7 @@ def pack_manifest(df: DataFrame, order: Sequence[str], length: str, max_len: int
     points = marks.select(F.col("_s").alias("x"), F.lit(0).alias("kind"), F.col("_s").alias("at"))
     probes = marks.select((F.col("_s") + F.lit(max_len)).alias("x"), F.lit(1).alias("kind"), F.col("_s").alias("src"))
     seen = carry(
-        points.unionByName(probes, allowMissingColumns=True), [], lane, ["x", "kind"], {"next": F.col("at")}, backward=True
+        points.unionByName(probes, allowMissingColumns=True), [], lane, ["x", "kind"], following={"next": F.col("at")}
     )
     links = cut(seen.where("kind = 1 and next is not null").select("src", "next"))
     total = marks.agg(F.max("_s")).first()[0] or 0

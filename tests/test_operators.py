@@ -328,7 +328,7 @@ def test_scale_helpers_against_brute_force(spark):
         assert r["s_total"] == sum(x[1] for x in rows if x[0] == r["g"])
     holes = df.withColumn("x", F.when(F.col("v") == 5, F.col("id")))
     for backward in (False, True):
-        out = carry(holes, ["g"], F.floor(F.col("id") / 10), ["id"], {"y": F.col("x")}, backward)
+        out = carry(holes, ["g"], F.floor(F.col("id") / 10), ["id"], **{"following" if backward else "last": {"y": F.col("x")}})
         for r in out.collect():
             known = [x[2] for x in rows if x[0] == r["g"] and x[1] == 5 and (x[2] >= r["id"] if backward else x[2] <= r["id"])]
             assert r["y"] == ((min if backward else max)(known) if known else None)
