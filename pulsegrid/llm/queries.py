@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import language
+from pulsegrid.llm import credentials, fingerprints, language, rules
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -40,3 +40,21 @@ def op1_language(spark: SparkSession, sf: str) -> DataFrame:
     model = language.fit_language(docs.where(fold(4) != 2))
     keep = {"doc_id": F.col("doc_id"), "held_out": F.coalesce(fold(4) == 2, F.lit(False))}
     return language.predict_language(docs, model, keep=keep)
+
+
+@query()
+def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketch of every document, of its edited text, and its likeness to the next one."""
+    return fingerprints.compare_neighbours(table(spark, sf, "documents"))
+
+
+@query()
+def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in every document, weak parts only where they complete each other."""
+    return credentials.find_secrets(table(spark, sf, "documents"))
+
+
+@query()
+def op10_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality counts and verdict of every document."""
+    return rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
