@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import credentials, fingerprints, language, rules
+from pulsegrid.llm import credentials, fingerprints, language, mixing, packing, rules, toxicity
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -42,12 +42,33 @@ def op1_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.predict_language(docs, model, keep=keep)
 
 
+@query()
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every document, learned outside fold 0 of 5."""
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf, "labels"), learn=fold(5) != 0)
+    keep = {"doc_id": F.col("doc_id"), "held_out": F.coalesce(fold(5) == 0, F.lit(False))}
+    return toxicity.score_toxicity(docs, model, keep=keep)
+
+
 @query()
 def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Sketch of every document, of its edited text, and its likeness to the next one."""
     return fingerprints.compare_neighbours(table(spark, sf, "documents"))
 
 
+@query(mixing.mix_sql())
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    return mixing.mix(table(spark, sf, "documents"))
+
+
+@query()
+def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Place of every piece of every document in the packed sequences."""
+    return packing.pack(table(spark, sf, "documents"))
+
+
 @query()
 def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets in every document, weak parts only where they complete each other."""
