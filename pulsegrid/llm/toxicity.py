@@ -238,7 +238,7 @@ def _fit_weights(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, size: int
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    learn: Column | None = None, sample: int = 15_000, size: int = 20_000, support: int = 4, penalty: float = 4.0,
+    learn: Column | None = None, sample: int = 15_000, size: int = 20_000, support: int = 3, penalty: float = 1.0,
 ) -> ToxicityModel:
     """Learn the character model from all texts and the word weights from labelled ones.
 
