@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import credentials, fingerprints, language, mixing, packing, rules, toxicity
+from pulsegrid.llm import credentials, fingerprints, jaccard, language, mixing, packing, rules, toxicity
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -75,6 +75,12 @@ def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return credentials.find_secrets(table(spark, sf, "documents"))
 
 
+@query()
+def op9_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Shingle set size and component of every document."""
+    return jaccard.near_components(table(spark, sf, "documents"))
+
+
 @query()
 def op10_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Quality counts and verdict of every document."""

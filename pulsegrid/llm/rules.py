@@ -148,7 +148,7 @@ def bin_of(value: Column, top: float) -> Column:
 def certified_verdict(
     stats: DataFrame,
     labels: DataFrame,
-    risk: float = 0.005,
+    risk: float = 0.01,
     error: float = 0.05,
     key: str = "doc_id",
     stratum: str = "stratum",
@@ -192,7 +192,7 @@ def certified_verdict(
     return joined.select(*[stats[c] for c in stats.columns], accepted.alias("accepted"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.005, error: float = 0.05, stratum: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05, stratum: str = "lang") -> DataFrame:
     """Counts, base rules and certified verdict of every document.
 
     The counts are checkpointed (a few numbers a row), so texts are read once.
