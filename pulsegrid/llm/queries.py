@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import credentials, fingerprints, jaccard, language, mixing, packing, rules, toxicity, urls
+from pulsegrid.llm import credentials, fingerprints, jaccard, language, lines, mixing, packing, rules, toxicity, urls
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -123,6 +123,16 @@ def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.compare_neighbours(table(spark, sf, "documents"))
 
 
+@query()
+def op5_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document after line deduplication: lines lost and a digest of what is left."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    left = lines.dedupe_lines(docs, count="n_lost")
+    return left.select(
+        "doc_id", "n_lost", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("left_sha256")
+    )
+
+
 @query(mixing.mix_sql())
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words that the mix takes from every document."""
