@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,9 +17,10 @@ from pulsegrid.session import cut
 
 CAPACITY = 4096
 END = 1
-CACHE, LONGEST = 300_000, 64
-SLICE_ROWS = 50_000
+CACHE, CORES, LONGEST = 200_000, 500_000, 64
+SLICE_ROWS = 5_000
 _WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
 
 def default_vocabulary() -> str:
@@ -28,34 +30,70 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for later code points."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordTokenizer:
     """Token ids of whole texts, remembered word by word.
 
     White space separates words before any merge in this vocabulary, so the
-    ids of a text are those of its words in a row.
+    ids of a text are those of its words in a row. A word of plain letters,
+    with or without a closing mark, needs no more than lower case before the
+    merges; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_WORDS.findall(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        fresh = list({w for words in split for w in words} - self.known.keys())
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        known = self.known
-        out = [np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4") for words in split]
-        for word in fresh:
-            if len(word) > LONGEST:
-                del known[word]
-        return out
+        self.model = self.tokenizer.model
+        self.alphabet = _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _core(self, core: str) -> bytes:
+        found = self.cores.get(core)
+        if found is None:
+            if len(self.cores) > CORES:
+                self.cores.clear()
+            spelled = core.encode().decode("latin-1").translate(self.alphabet)
+            found = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+            self.cores[core] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        simple = _SIMPLE.fullmatch(word)
+        if simple is None:
+            return self._whole(word)
+        mark = simple[2]
+        return self._core(simple[1].lower()) + (self._core(mark) if mark else b"")
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids."""
+        words, out = self.words, []
+        for word in _WORDS.findall(text):
+            found = words.get(word)
+            if found is None:
+                found = self._word(word)
+                if len(word) <= LONGEST:
+                    if len(words) > CACHE:
+                        words.clear()
+                    words[word] = found
+            out.append(found)
+        return b"".join(out)
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One per worker process, so words stay known from task to task."""
+    return WordTokenizer(path)
 
 
 def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
@@ -70,15 +108,16 @@ def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity:
     kind = rows.schema["_key"].dataType.simpleString()
 
     def run(frames):
-        tool = WordTokenizer(vocabulary or default_vocabulary())
+        tool = _tokenizer(vocabulary or default_vocabulary())
+        end = np.array([END], dtype="<u4").tobytes()
         for frame in frames:
             names = frame["_key"].astype("object").where(frame["_key"].notna(), None)
             for at in range(0, len(frame), 512):
                 out = defaultdict(list)
-                for name, ids in zip(names[at : at + 512], tool.encode(frame["_text"].iloc[at : at + 512].tolist())):
-                    whole = np.append(ids, np.uint32(END)).astype("<u4")
-                    for piece, start in enumerate(range(0, len(whole), capacity)):
-                        part = whole[start : start + capacity].tobytes()
+                for name, text in zip(names[at : at + 512], frame["_text"].iloc[at : at + 512]):
+                    whole = tool.encode(text) + end
+                    for piece, start in enumerate(range(0, len(whole) // 4, capacity)):
+                        part = whole[4 * start : 4 * (start + capacity)]
                         out["key"].append(name)
                         out["piece"].append(piece)
                         out["start"].append(start)
@@ -222,7 +261,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Pieces are counted by length (at most ``capacity`` counts reach the
     driver), planned, and numbered within their length: rows are dealt to
-    slices of about 50,000 by a hash, slice counts give the first number of a
+    slices of about 5,000 by a hash, slice counts give the first number of a
     slice, so a common length is numbered by many tasks. The number finds its
     place in the broadcast plan, whose size depends on the number of lengths
     alone. ``pieces`` is read twice and must not change in between.
