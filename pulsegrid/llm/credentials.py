@@ -7,10 +7,11 @@ import math
 import re
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.rows import add_columns
+
 # The base patterns. The group of `assign` is the assigned value.
 ASSIGN = re.compile(
     r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
@@ -65,10 +66,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     every part. Texts without any part keep one row; null texts are empty.
     ``rid`` identifies a row by its key and text.
     """
-    rows = docs.select(
-        F.xxhash64(F.col(key), F.col(text)).alias("rid"), F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    )
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    body = F.coalesce(F.col(text), F.lit(""))
+    keep = {"rid": F.xxhash64(F.col(key), body), "doc_id": F.col(key)}
     blank = re.compile(r"\n[ \t]*\n")
 
     def parts_of(body: str, base):
@@ -82,29 +81,21 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             out.append((s, k, e, scope))
         return out
 
-    def run(frames):
-        for frame in frames:
-            base = [base_spans(t) for t in frame["text"]]
-            yield pd.DataFrame(
-                {
-                    "rid": frame["rid"],
-                    "doc_id": frame["doc_id"],
-                    "n_assign": [sum(k == 0 for _, k, _ in b) for b in base],
-                    "n_access": [sum(k == 1 for _, k, _ in b) for b in base],
-                    "n_hex": [sum(k == 2 for _, k, _ in b) for b in base],
-                    "base_sha256": [hashlib.sha256(spell(b).encode()).hexdigest() for b in base],
-                    "parts": [
-                        [{"start": s, "kind": k, "end": e, "scope": c} for s, k, e, c in parts_of(t, b)]
-                        for t, b in zip(frame["text"], base)
-                    ],
-                }
-            )
-
-    return rows.mapInPandas(
-        run,
-        f"rid long, doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, "
-        "parts array<struct<start:long,kind:int,end:long,scope:int>>",
+    def run(texts):
+        base = [base_spans(t) for t in texts]
+        return {
+            "n_assign": [sum(k == 0 for _, k, _ in b) for b in base],
+            "n_access": [sum(k == 1 for _, k, _ in b) for b in base],
+            "n_hex": [sum(k == 2 for _, k, _ in b) for b in base],
+            "base_sha256": [hashlib.sha256(spell(b).encode()).hexdigest() for b in base],
+            "parts": [[{"start": s, "kind": k, "end": e, "scope": c} for s, k, e, c in parts_of(t, b)] for t, b in zip(texts, base)],
+        }
+
+    schema = (
+        "n_assign long, n_access long, n_hex long, base_sha256 string, "
+        "parts array<struct<start:long,kind:int,end:long,scope:int>>"
     )
+    return add_columns(docs, body, keep, schema, run)
 
 
 def link(parts: DataFrame, reach: int = REACH) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.hashing import as_bytes, shingle_sets
+from pulsegrid.llm.rows import add_columns
 
 K = 128
 WIDTH = 5
@@ -68,15 +69,8 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
 
     Equal texts get equal fingerprints; repeated rows stay repeated.
     """
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    kind = rows.schema["_key"].dataType.simpleString()
-
-    def run(frames):
-        for frame in frames:
-            found = sketches([as_bytes(t) for t in frame["_text"]], k)
-            yield pd.DataFrame({"key": frame["_key"], "fingerprint": [encode(s) for s in found]})
-
-    return rows.mapInPandas(run, f"key {kind}, fingerprint string").withColumnRenamed("key", key)
+    work = lambda texts: {"fingerprint": [encode(s) for s in sketches([as_bytes(t) for t in texts], k)]}
+    return add_columns(docs, F.col(text), {key: F.col(key)}, "fingerprint string", work)
 
 
 def merge_fingerprints(prints: DataFrame, by: str, column: str = "fingerprint", k: int = K) -> DataFrame:
@@ -120,9 +114,8 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Documents follow each other by ascending key (after the last comes the
     first, null keys stand last, rows of one key follow by text). Keys are
-    dealt into ranges at quantiles; since a quantile is itself a key, each
-    range's successor is known in advance and the row at a border is sent to
-    both ranges. A range is sorted and read as a stream holding one row back.
+    dealt into ranges near quantiles; the smallest key of each range is known
+    in advance, and its rows are sent to the range before as well. A range is sorted and read as a stream holding one row back.
     Null texts are empty; an empty table gives no row.
     """
     spark = docs.sparkSession
@@ -130,13 +123,19 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / parts for i in range(1, parts)]
     low, cuts = rows.agg(F.min("doc_id"), F.percentile_approx("doc_id", shares, 20 * parts)).first()
-    cuts = np.array(sorted(set(cuts or []) - {low}), dtype=np.int64)
 
-    @F.pandas_udf("int")
-    def lane(ids: pd.Series) -> pd.Series:
-        found = np.searchsorted(cuts, ids.fillna(0).to_numpy(dtype=np.int64), side="right")
-        return pd.Series(np.where(ids.isna(), len(cuts), found).astype(np.int32))
+    def lane(cuts: np.ndarray):
+        @F.pandas_udf("int")
+        def place(ids: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(cuts, ids.to_numpy(dtype=np.int64), side="right").astype(np.int32))
+
+        return place(F.coalesce("doc_id", F.lit((1 << 63) - 1)))
 
+    # Quantiles are rounded for very large keys; the smallest key of each range is exact.
+    known = rows.where(F.col("doc_id").isNotNull()).select("doc_id")
+    rough = np.array(sorted(set(cuts or [])), dtype=np.int64)
+    firsts = known.groupBy(lane(rough).alias("lane")).agg(F.min("doc_id").alias("first")).collect()
+    cuts = np.array(sorted(r.first for r in firsts)[1:], dtype=np.int64)
     border = [int(c) for c in cuts]
     own = F.struct(F.col("lane"), F.lit(0).alias("tail"))
     before = F.struct((F.col("lane") - 1).alias("lane"), F.lit(1).alias("tail"))
@@ -146,9 +145,10 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # Null keys are last of all; they take part in the last range.
     places = F.when(first, F.array(own, round_)).when(is_border, F.array(own, before)).otherwise(F.array(own))
     dealt = (
-        rows.withColumn("lane", lane("doc_id"))
+        rows.withColumn("lane", lane(cuts))
         .withColumn("at", F.explode(places))
         .select("doc_id", "text", F.col("at.lane").alias("lane"), F.col("at.tail").alias("tail"))
+        .withColumn("name", F.col("doc_id").cast("string"))
         .repartitionById(len(cuts) + 1, F.col("lane"))
         .sortWithinPartitions("lane", "tail", F.col("doc_id").asc_nulls_last(), "text")
     )
@@ -157,8 +157,7 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
         held = None  # (lane, doc_id, text, sketch)
         for frame in frames:
             texts = frame["text"].tolist()
-            ids = frame["doc_id"].astype("object").where(frame["doc_id"].notna(), None).tolist()
-            items = list(zip(frame["lane"].tolist(), frame["tail"].tolist(), ids, texts, sketches([as_bytes(t) for t in texts], k)))
+            items = list(zip(frame["lane"].tolist(), frame["tail"].tolist(), frame["name"].tolist(), texts, sketches([as_bytes(t) for t in texts], k)))
             pairs = []
             for lane_, tail, doc, body, found in items:
                 if held is not None and held[0] == lane_:
@@ -168,7 +167,7 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
             again = sketches([as_bytes(t) for t in changed], k)
             yield pd.DataFrame(
                 {
-                    "doc_id": pd.array([None if p[0] is None else int(p[0]) for p in pairs], dtype="Int64"),
+                    "name": pd.Series([p[0] for p in pairs], dtype=object),
                     "n_chars": [len(p[1]) for p in pairs],
                     "edited_sha256": [hashlib.sha256(as_bytes(t)).hexdigest() for t in changed],
                     "fingerprint": [encode(p[2]) for p in pairs],
@@ -178,8 +177,9 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 }
             )
 
-    return dealt.mapInPandas(
+    found = dealt.drop("doc_id").mapInPandas(
         run,
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+        "name string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double",
     )
+    return found.select(F.col("name").cast("long").alias(key), *[c for c in found.columns if c != "name"])

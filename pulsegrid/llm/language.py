@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.rows import add_columns
+
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
 SPAN = 1 << 19
@@ -180,15 +182,10 @@ def predict_language(
     Repeated rows each get the same answer, ties go to the first language in
     code point order, and no column but the text reaches the model.
     """
-    spark = docs.sparkSession
     keep = {"doc_id": F.col("doc_id")} if keep is None else keep
-    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(frames):
-        for frame in frames:
-            names, scores = shared.value.predict(frame["_text"].tolist())
-            yield frame.drop(columns="_text").assign(lang_pred=names, score=scores)
+    def score(texts):
+        return dict(zip(("lang_pred", "score"), shared.value.predict(texts)))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInPandas(score, f"{fields}, lang_pred string, score double")
+    return add_columns(docs, F.col(text), keep, "lang_pred string, score double", score)

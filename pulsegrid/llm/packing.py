@@ -9,9 +9,10 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pulsegrid.session import cut
 
@@ -105,28 +106,30 @@ def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity:
     where only lengths are needed. Repeated rows give repeated pieces.
     """
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    kind = rows.schema["_key"].dataType.simpleString()
+    kinds = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.binary()}
 
-    def run(frames):
+    def run(batches):
         tool = _tokenizer(vocabulary or default_vocabulary())
         end = np.array([END], dtype="<u4").tobytes()
-        for frame in frames:
-            names = frame["_key"].astype("object").where(frame["_key"].notna(), None)
-            for at in range(0, len(frame), 512):
-                out = defaultdict(list)
-                for name, text in zip(names[at : at + 512], frame["_text"].iloc[at : at + 512]):
-                    whole = tool.encode(text) + end
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part_ = batch.slice(at, 256)
+                home, out = [], defaultdict(list)
+                for row, text_ in enumerate(part_.column("_text").to_pylist()):
+                    whole = tool.encode(text_) + end
                     for piece, start in enumerate(range(0, len(whole) // 4, capacity)):
-                        part = whole[4 * start : 4 * (start + capacity)]
-                        out["key"].append(name)
+                        ids = whole[4 * start : 4 * (start + capacity)]
+                        home.append(row)
                         out["piece"].append(piece)
                         out["start"].append(start)
-                        out["length"].append(len(part) // 4)
-                        out["ids_crc32"].append(zlib.crc32(part))
-                        out["ids"].append(part)
-                yield pd.DataFrame(out)
+                        out["length"].append(len(ids) // 4)
+                        out["ids_crc32"].append(zlib.crc32(ids))
+                        out["ids"].append(ids)
+                names = part_.column("_key").take(pa.array(home, type=pa.int64()))
+                yield pa.RecordBatch.from_arrays([names] + [pa.array(out[n], type=k) for n, k in kinds.items()], names=["_key", *kinds])
 
-    return rows.mapInPandas(run, f"key {kind}, piece int, start long, length long, ids_crc32 long, ids binary").withColumnRenamed("key", key)
+    fields = StructType([rows.schema["_key"], *StructType.fromDDL("piece int, start long, length long, ids_crc32 long, ids binary")])
+    return rows.mapInArrow(run, fields).withColumnRenamed("_key", key)
 
 
 @dataclass(frozen=True)
@@ -281,25 +284,27 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = dealt.withColumn("_rank", F.row_number().over(order) - 1).join(starts, ["length", "_lane"])
     ranked = ranked.select(*names, (F.col("_rank") + F.col("_ahead")).cast("long").alias("_rank"))
 
-    def run(frames):
+    fields = [f for f in ranked.schema if f.name != "_rank"]
+
+    def run(batches):
         plan = slots.value
         lengths, counted = np.unique(plan.length, return_counts=True)
         begin = np.concatenate(([0], np.cumsum(counted)))
-        for frame in frames:
-            rank = frame["_rank"].to_numpy(dtype=np.int64)
-            length = frame["length"].to_numpy(dtype=np.int64)
-            at = np.zeros(len(frame), dtype=np.int64)
+        for batch in batches:
+            rank = batch.column("_rank").to_numpy()
+            length = batch.column("length").to_numpy()
+            at = np.zeros(len(rank), dtype=np.int64)
             group = np.searchsorted(lengths, length)
             for g in np.unique(group):
                 own = group == g
                 at[own] = begin[g] + np.searchsorted(plan.first[begin[g] : begin[g + 1]], rank[own], side="right") - 1
             inside = rank - plan.first[at]
-            yield frame.drop(columns="_rank").assign(
-                sequence_id=plan.sequence[at] + inside // plan.run[at], offset=plan.offset[at] + inside % plan.run[at] * length
-            )
+            sequence = plan.sequence[at] + inside // plan.run[at]
+            offset = plan.offset[at] + inside % plan.run[at] * length
+            arrays = [batch.column(f.name) for f in fields] + [pa.array(sequence), pa.array(offset)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields] + ["sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInPandas(run, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(run, StructType(fields + list(StructType.fromDDL("sequence_id long, offset long"))))
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:

@@ -88,7 +88,7 @@ def dated_entries(pages: DataFrame) -> DataFrame:
     return out
 
 
-URL_SQL = f"""
+URL_SQL = rf"""
 WITH c AS (SELECT page_id, url, ({FIRST_DAY} + ('0x' || substr(md5('f' || page_id::VARCHAR), 1, 8))::BIGINT % {DAYS})::INTEGER AS fetch_day,
     lower(regexp_extract(url, '{urls.HOST}', 1)) AS host, regexp_extract(url, '{urls.SEGMENT}', 1) AS seg FROM pages),
 k AS (SELECT 'spam' AS list, 'host' AS scope, host AS entry, 5 AS share FROM c UNION
@@ -161,3 +161,11 @@ def op9_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 def op10_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Quality counts and verdict of every document."""
     return rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query()
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.hashing import WHITE, as_bytes, batches, windows, word_hashes
+from pulsegrid.llm.rows import add_columns
 from pulsegrid.session import cut
 
 WIDTH = 5
@@ -92,15 +93,8 @@ def document_stats(docs: DataFrame, text: str = "text", keep: dict[str, Column]
     null text counts as empty: all counts are zero. Repeated rows stay.
     """
     keep = {"doc_id": F.col("doc_id")} if keep is None else keep
-    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
-
-    def run(frames):
-        for frame in frames:
-            stats = text_stats([as_bytes(t) for t in frame["_text"]])
-            yield frame.drop(columns="_text").assign(**stats)
-
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
-    return rows.mapInPandas(run, ", ".join(kept + [f"{name} long" for name in STATS]))
+    schema = ", ".join(f"{name} long" for name in STATS)
+    return add_columns(docs, F.col(text), keep, schema, lambda texts: text_stats([as_bytes(t) for t in texts]))
 
 
 def tail_probability(k: int, n: int, rate: float) -> float:

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.rows import add_columns
+
 CLASSES = 64
 SPAN = 1 << 19
 CLEAN, KNOWN = 400_000, 100_000
@@ -318,13 +320,14 @@ def score_toxicity(
     scores; only the text is read.
     """
     keep = {"doc_id": F.col("doc_id")} if keep is None else keep
-    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = add_columns(docs, F.col(text), keep, "score double", lambda texts: {"score": [shared.value.score(t) for t in texts]})
+    return scored.select(*scored.columns, (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-    def run(frames):
-        for frame in frames:
-            yield frame.drop(columns="_text").assign(score=[shared.value.score(t) for t in frame["_text"]])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    scored = rows.mapInPandas(run, f"{fields}, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
+    """Documents that score below one half, with all their columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = {c: F.col(f"`{c}`") for c in docs.columns}
+    scored = add_columns(docs, F.col(text), kept, "_toxic double", lambda texts: {"_toxic": [shared.value.score(t) for t in texts]})
+    return scored.where(F.col("_toxic") < 0.5).drop("_toxic")
