@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.graph import components
 from pulsegrid.llm.hashing import as_bytes, batches, shingle_sets
+from pulsegrid.llm.rows import add_columns
 from pulsegrid.session import cut
 
 WIDTH = 5
@@ -19,6 +20,7 @@ PERCENT = 80
 BITS = 18
 BLOCKS = 64
 SMALL_IDS = 2_000_000
+WORDS = 8
 
 
 def needed(size, percent: int = PERCENT):
@@ -82,28 +84,30 @@ def _digest(prefix: np.ndarray, size: int) -> np.int64:
     return np.frombuffer(raw, dtype=np.int64)[0]
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def describe(texts: DataFrame, counts, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(rid, key, n, unit, gid): set size, digest of the whole set, and group of equal prefix and size.
+    """(rid, key, n, unit, gid, bits): set size, digest of the set, group of equal prefix and size, parities.
 
-    Texts without words have n = 0 and null digests.
+    ``bits`` holds 512 parities, each of the number of shingles in its hash
+    class; sets differ in at least as many shingles as in parities. Texts
+    without words have n = 0 and null digests.
     """
-    kind = texts.schema["key"].dataType.simpleString()
 
-    def run(frames):
-        for frame, sets in _sets(frames, width):
-            yield pd.DataFrame(
-                {
-                    "rid": frame["rid"].to_numpy(),
-                    "key": frame["key"].to_numpy(),
-                    "n": [len(s) for s in sets],
-                    "unit": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                    "gid": pd.array(
-                        [int(_digest(_prefix(s, counts.value, percent), len(s))) if len(s) else None for s in sets], dtype="Int64"
-                    ),
-                }
-            )
-
-    return texts.mapInPandas(run, f"rid long, key {kind}, n long, unit binary, gid long")
+    def work(bodies):
+        sets = shingle_sets([as_bytes(t) for t in bodies], width)
+        return {
+            "n": [len(s) for s in sets],
+            "unit": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+            "gid": [int(_digest(_prefix(s, counts.value, percent), len(s))) if len(s) else None for s in sets],
+            "bits": [_parities(s).tolist() for s in sets],
+        }
+
+    keep = {"rid": F.col("rid"), "key": F.col("key")}
+    return add_columns(texts, F.col("text"), keep, "n long, unit binary, gid long, bits array<long>", work)
 
 
 def prefix_tokens(texts: DataFrame, counts, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -171,18 +175,8 @@ def fits(a: str, b: str, percent: int = PERCENT):
     return (100 * F.least(a, b).cast("long") >= percent * F.greatest(a, b))
 
 
-def near_components(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT
-) -> DataFrame:
-    """(key, n_shingles, component_id) for every row.
-
-    Two texts are linked when their sets of ``width``-word shingles reach the
-    Jaccard similarity; ``component_id`` is the smallest key reachable. Words
-    are separated by white space, A-Z count as a-z, and a text with fewer
-    words is its own single shingle. Texts without words (null, empty) have
-    size 0 and are linked with nothing. Rows with a null key take part; a
-    component of such rows only has a null id. Repeated rows are equal texts
-    and share a component.
+def classes(docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(rid, key, n, unit, gid) of every row, and (unit, low, root): component and smallest key of each unit.
 
     Shingles are ordered by how many texts hold their hash range, rarest
     first, and the prefix of that order must meet the prefix of any similar
@@ -198,64 +192,110 @@ def near_components(
     counts = spark.sparkContext.broadcast(shingle_counts(texts, width))
     rows = cut(describe(texts, counts, width, percent))
     units = cut(
-        rows.where("n > 0").groupBy("unit", "n", "gid").agg(F.min("rid").alias("rid"), F.min("key").alias("low"))
+        rows.where("n > 0").groupBy("unit", "n", "gid", "bits").agg(F.min("rid").alias("rid"), F.min("key").alias("low"))
     )
     tokens = prefix_tokens(texts, counts, width, percent)
     shared = (
-        tokens.groupBy("token").agg(F.min("gid").alias("lead"), F.max("gid").alias("_high"))
-        .where(F.col("lead") != F.col("_high")).select("token", "lead")
+        tokens.groupBy("token").agg(F.min("gid").alias("lead"), F.count(F.lit(1)).alias("_rows"))
+        .where("_rows > 1").select("token", "lead")
     )
     met = cut(tokens.join(shared, "token"))
 
-    heads = units.groupBy("gid").agg(F.min(F.struct("unit", "rid", "n")).alias("h")).select("gid", "h.*")
-    heads = cut(heads)
-    lead = heads.select(F.col("gid").alias("lead"), F.col("unit").alias("b"), F.col("rid").alias("rid_b"), F.col("n").alias("n_b"))
-    own = heads.select("gid", F.col("unit").alias("a"), F.col("rid").alias("rid_a"), F.col("n").alias("n_a"))
-    stars = met.where("gid != lead").select("gid", "lead").distinct().join(own, "gid").join(lead, "lead")
-    stars = stars.where(fits("n_a", "n_b", percent)).select("a", "b", "rid_a", "rid_b")
-    inner = units.join(heads.select("gid", F.col("unit").alias("b"), F.col("rid").alias("rid_b")), "gid")
-    inner = inner.where(F.col("unit") != F.col("b")).select(F.col("unit").alias("a"), "b", F.col("rid").alias("rid_a"), "rid_b")
-    first = cut(verify(stars.union(inner), texts, width, percent))
+    heads = cut(units.groupBy("gid").agg(F.min(F.struct("unit", "rid", "n", "bits")).alias("h")).select("gid", "h.*"))
+    lead = heads.select(
+        F.col("gid").alias("lead"), F.col("unit").alias("b"), F.col("rid").alias("rid_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")
+    )
+    own = heads.select("gid", F.col("unit").alias("a"), F.col("rid").alias("rid_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    possible = fits("n_a", "n_b", percent) & close("bits_a", "bits_b", "n_a", "n_b", percent)
+    stars = met.where("gid != lead").select("gid", "lead").distinct().join(own, "gid").join(lead, "lead").where(possible)
+    inner = units.select("gid", F.col("unit").alias("a"), F.col("rid").alias("rid_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    inner = inner.join(lead.withColumnRenamed("lead", "gid"), "gid").where((F.col("a") != F.col("b")) & possible)
+    pair = ["a", "b", "rid_a", "rid_b"]
+    tried = cut(stars.select(*pair).union(inner.select(*pair)))
+    first = cut(verify(tried, texts, width, percent))
     roots = components(first)
 
     # Second look: prefix tokens, and groups, that touch more than one component.
-    placed = units.join(roots, units["unit"] == roots["node"], "left").select(
-        "unit", "rid", "gid", F.coalesce("root", "unit").alias("root"), F.col("n").alias("size")
-    )
-    placed = cut(placed)
-    spread = met.select("token", "gid", "n", "place").distinct().join(placed.drop("size"), "gid")
-    alone = placed.select(
-        F.col("gid").alias("token"), "gid", F.col("size").cast("int").alias("n"), F.lit(0).alias("place"), "unit", "rid", "root"
+    placed = cut(
+        units.join(roots, units["unit"] == roots["node"], "left").select(
+            "unit", "rid", "gid", F.coalesce("root", "unit").alias("root"), F.col("n").alias("size"), "bits"
+        )
     )
-    spread = cut(spread.select("token", "n", "place", "unit", "rid", "root", F.lit(0).alias("kind")).union(
-        alone.select("token", "n", "place", "unit", "rid", "root", F.lit(1).alias("kind"))
-    ))
-    open_ = spread.groupBy("kind", "token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a != _b").select("kind", "token")
-    left = spread.join(open_, ["kind", "token"])
-    right = left.select(
-        "kind", "token", F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("unit").alias("b"), F.col("rid").alias("rid_b"), F.col("root").alias("root_b")
-    )
-    left = left.select(
-        "kind", "token", F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("unit").alias("a"), F.col("rid").alias("rid_a"), F.col("root").alias("root_a")
+    ends = placed.groupBy("gid").agg(F.min("root").alias("_a"), F.max("root").alias("_b"))
+    open_ = met.select("token", "gid").join(ends, "gid").groupBy("token").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+    open_ = cut(open_.where("_a != _b").select("token"))
+    body = ["unit", "rid", "root", "bits"]
+    spread = met.join(open_, "token").select("token", "gid", "n", "place").distinct().join(placed.select("gid", *body), "gid")
+    mixed = ends.where("_a != _b").select("gid")
+    alone = placed.join(mixed, "gid").select(F.col("gid").alias("token"), F.col("size").cast("int").alias("n"), F.lit(0).alias("place"), *body)
+    left = cut(
+        spread.select(F.lit(0).alias("kind"), "token", "n", "place", *body).union(alone.select(F.lit(1).alias("kind"), "token", "n", "place", *body))
     )
+    sides = [left.select("kind", "token", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "place", *body)]) for x in "ab"]
     # For the first common token at least this overlap can still follow.
     room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")).cast("long")
     reach = (100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b"))
-    across = left.join(right, ["kind", "token"]).where(
-        (F.col("root_a") < F.col("root_b")) & fits("n_a", "n_b", percent) & reach
-    )
-    across = across.select("a", "b", "rid_a", "rid_b").distinct()
-    done = stars.union(inner).select(F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y")).distinct()
-    across = across.join(
-        done, (F.least("a", "b") == F.col("_x")) & (F.greatest("a", "b") == F.col("_y")), "left_anti"
-    )
+    across = sides[0].join(sides[1], ["kind", "token"]).where((F.col("root_a") < F.col("root_b")) & reach & possible)
+    across = across.select(F.col("unit_a").alias("a"), F.col("unit_b").alias("b"), "rid_a", "rid_b").distinct()
+    done = tried.select(F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y")).distinct()
+    across = across.join(done, (F.least("a", "b") == F.col("_x")) & (F.greatest("a", "b") == F.col("_y")), "left_anti")
     second = cut(verify(across, texts, width, percent))
     if second.limit(1).count():
         roots = components(first.union(second))
 
     final = units.join(roots, units["unit"] == roots["node"], "left").select("unit", "low", F.coalesce("root", "unit").alias("root"))
-    smallest = final.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = final.join(smallest, "root").select(F.col("unit").alias("_unit"), "component_id")
+    return rows, final
+
+
+def close(a: str, b: str, n_a: str, n_b: str, percent: int = PERCENT):
+    """Parities that still allow the threshold: at most n_a + n_b - 2 x the needed overlap may differ."""
+    differing = sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(WORDS)), F.lit(0))
+    both = F.col(n_a).cast("long") + F.col(n_b).cast("long")
+    return (100 + percent) * differing <= (100 - percent) * both
+
+
+def near_components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT
+) -> DataFrame:
+    """(key, n_shingles, component_id) for every row.
+
+    Two texts are linked when their sets of ``width``-word shingles reach the
+    Jaccard similarity; ``component_id`` is the smallest key reachable. Words
+    are separated by white space, A-Z count as a-z, and a text with fewer
+    words is its own single shingle. Texts without words (null, empty) have
+    size 0 and are linked with nothing. Rows with a null key take part; a
+    component of such rows only has a null id. Repeated rows are equal texts
+    and share a component.
+    """
+    rows, units = classes(docs, key, text, width, percent)
+    smallest = units.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = units.join(smallest, "root").select(F.col("unit").alias("_unit"), "component_id")
     out = rows.join(named, rows["unit"] == named["_unit"], "left")
     component = F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row of each component: that of the smallest key (null keys last), then of the smallest hash.
+
+    Rows without words all stay, since they are linked with nothing. Only ids
+    of rows that go are joined with the documents; they are broadcast if there
+    are at most two million.
+    """
+    rows, units = classes(docs, key, text, width, percent)
+    placed = cut(rows.where("n > 0").join(units.select("unit", "root"), "unit").select("rid", "key", "root"))
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "rid")
+    keepers = placed.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.rid").alias("rid"))
+    copies = placed.groupBy("rid").agg(F.count(F.lit(1)).alias("copies"))
+    gone = copies.join(keepers, "rid", "left_anti").select(F.col("rid").alias("_gone"))
+    twice = copies.where("copies > 1").join(keepers, "rid", "left_semi").select(F.col("rid").alias("_gone"))
+    gone, twice = cut(gone), cut(twice)
+    body = F.coalesce(F.col(text), F.lit(""))
+    tagged = docs.withColumn("_rid", F.xxhash64(F.col(key), body))
+
+    def small(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
+
+    single = tagged.join(small(gone.union(twice)), F.col("_rid") == F.col("_gone"), "left_anti")
+    repeated = tagged.join(small(twice), F.col("_rid") == F.col("_gone"), "left_semi").dropDuplicates(["_rid"])
+    return single.union(repeated).drop("_rid")
