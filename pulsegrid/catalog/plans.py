@@ -135,7 +135,7 @@ def probe_tables(spark, sf):
 
 @query(
     """WITH d AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS file_source, 'S000' || CAST(o_custkey % 4 AS VARCHAR) || '-' || CAST(year(o_orderdate) AS VARCHAR) AS partition, o_orderstatus FROM orders),
-i AS (SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ';' ORDER BY l_linenumber) AS codes FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 4) GROUP BY 1)
+i AS (SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ';' ORDER BY l_linenumber) AS codes FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1)
 SELECT d.file_source, d.partition, coalesce(i.codes, '') AS codes, CASE WHEN o_orderstatus = 'P' THEN 'Unavailable' ELSE o_orderstatus END AS race
 FROM d LEFT JOIN i ON i.l_orderkey = d.o_orderkey WHERE d.o_orderkey % 11 <> 5"""
 )
@@ -147,7 +147,7 @@ def curate_partitioned(spark, sf):
     demographics = orders.select(
         path.alias("FileName"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("PatientRace"), F.lit(None).cast("string").alias("SexDSC")
     )
-    grouped = lines.where("l_linenumber <= 4").groupBy(F.col("l_orderkey").cast("string").alias("file_source")).agg(
+    grouped = lines.groupBy(F.col("l_orderkey").cast("string").alias("file_source")).agg(
         F.array_join(F.array_sort(F.collect_set(F.col("l_linenumber").cast("string"))), ", ").alias("diagnostic_codes")
     )
     listed = orders.where("o_orderkey % 11 = 5").select(F.concat(F.lit("a/b/"), key).alias("file_name"))

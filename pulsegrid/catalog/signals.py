@@ -282,7 +282,7 @@ def epoch_majority(spark, sf):
 
 
 @query(
-    "WITH " + _EPOCH + """ SELECT record_id, epoch, CAST(c.cls AS INTEGER) AS cls, round(count(*) FILTER (e.cls = c.cls) / 10.0, 6) AS fraction,
+    "WITH " + _EPOCH + """ SELECT record_id, epoch, CAST(c.cls AS INTEGER) AS cls, round(count(*) FILTER (e.cls = c.cls) / count(*), 6) AS fraction,
   CAST(count(*) FILTER (e.cls = c.cls) > 0 AS DOUBLE) AS present FROM e, (SELECT unnest([0, 1, 2, 3, 4]) AS cls) c GROUP BY 1, 2, 3"""
 )
 def epoch_fraction(spark, sf):

@@ -11,6 +11,7 @@ from pulsegrid.operators import joins as J
 from pulsegrid.operators import reshape as R
 from pulsegrid.operators.nearest import DAY, HOUR, nearest_long, nearest_wide, pivot_names
 from pulsegrid.operators.splits import fixed_split, fold_split, provided_split_fold
+from pulsegrid.scale import position
 from pulsegrid.session import scratch_path
 from pulsegrid.sources import packing, sinks, tables as S
 
@@ -344,23 +345,24 @@ def append_manifest(spark, sf):
 
 @query(
     """WITH a AS (SELECT o_orderkey, o_custkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS record_id FROM orders WHERE o_orderstatus = 'F'),
-b AS (SELECT o_orderkey, o_custkey, dense_rank() OVER (ORDER BY o_custkey) - 1 + (SELECT count(*) FROM a) AS record_id FROM orders WHERE o_orderstatus = 'O')
-SELECT * FROM a UNION ALL SELECT * FROM b"""
+b AS (SELECT o_orderkey, o_custkey, dense_rank() OVER (ORDER BY o_custkey) - 1 + (SELECT count(*) FROM a) AS record_id FROM orders WHERE o_orderstatus = 'O'),
+c AS (SELECT o_orderkey, o_custkey, dense_rank() OVER (ORDER BY o_custkey) - 1 + (SELECT count(*) FROM a) + (SELECT count(*) FROM b) AS record_id FROM orders WHERE o_orderstatus = 'P')
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c"""
 )
 def union_remap(spark, sf):
     """Stack two datasets with dense, shifted record ids."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    parts = [orders.where(F.col("o_orderstatus") == s).drop("o_orderstatus") for s in ("F", "O")]
+    parts = [orders.where(F.col("o_orderstatus") == s).drop("o_orderstatus") for s in ("F", "O", "P")]
     return R.remap_union(parts, "o_custkey").select("o_orderkey", "o_custkey", "record_id")
 
 
 @query(
-    """SELECT o_orderkey AS k, o_totalprice AS price, CAST(NULL AS VARCHAR) AS name FROM orders WHERE o_orderstatus = 'P'
+    """SELECT o_orderkey AS k, o_totalprice AS price, CAST(NULL AS VARCHAR) AS name FROM orders
 UNION ALL SELECT c_custkey, c_acctbal, c_name FROM customer"""
 )
 def union_align(spark, sf):
     """Stack tables by column name, absent columns null."""
-    orders = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
     customers = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("price"), F.col("c_custkey").alias("k"))
     return R.align_union(orders, customers)
 
@@ -431,7 +433,7 @@ def path_ids(spark, sf):
     return table(spark, sf, "pages").select(
         "page_id",
         S.path_stem(url).alias("stem"),
-        S.flat_name(F.substring(url, 8, 1_000_000)).alias("flat"),
+        S.flat_name(url.substr(F.lit(8), F.length(url))).alias("flat"),
         S.folder_bucket(F.concat((F.col("page_id") * 37).cast("string"), F.lit("_hr"))).alias("folder"),
         S.partition_name(url).alias("part"),
     )
@@ -635,13 +637,14 @@ def lookup_flag(spark, sf):
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem
-ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 1000"""
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, row_number() OVER (
+  ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) - 1 AS place FROM lineitem"""
 )
 def sorted_top(spark, sf):
-    """O1: top rows of a multi-key sort."""
+    """O1: a whole multi-key sort; the place of every row is part of the result."""
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return R.ordered(rows, [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber", "l_partkey"]).limit(1000)
+    order = [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber", "l_partkey"]
+    return position(R.ordered(rows, order), [], order, "place")
 
 
 @query(

@@ -53,16 +53,19 @@ def drop_blacklisted(labels: Column, blacklist: Sequence[str] = DIAGNOSIS_BLACKL
     return F.filter(F.transform(labels, lambda x: F.trim(x)), lambda x: ~x.isin(*blacklist))
 
 
+def _nulls(text: Column) -> Column:
+    """None and nan as null where they stand for a whole element, not inside a quoted word."""
+    return F.regexp_replace(text, r"(?<=[\[,:{(])(\s*)(?:None|nan)(?=\s*[\],})])", "$1null")
+
+
 def literal_list(c: str | Column, element: str = "string") -> Column:
     """a quoted list literal parsed as data, never evaluated."""
-    text = F.regexp_replace(_col(c), r"\b(None|nan)\b", "null")
-    return F.from_json(text, f"array<{element}>")
+    return F.from_json(_nulls(_col(c)), f"array<{element}>")
 
 
 def literal_map(c: str | Column, value: str = "double") -> Column:
     """a quoted dictionary literal parsed as data."""
-    text = F.regexp_replace(_col(c), r"\b(None|nan)\b", "null")
-    return F.from_json(text, f"map<string,{value}>")
+    return F.from_json(_nulls(_col(c)), f"map<string,{value}>")
 
 
 def truncate_codes(codes: Column, digits: int | None) -> Column:

@@ -137,7 +137,8 @@ def segment_labels(
     """Per epoch the majority class, or per class presence or fraction.
 
     A tie goes to the first class. ``epoch_length`` 0 takes a record as one
-    epoch. Fractions divide by the full epoch length.
+    epoch. Fractions divide by the labels an epoch has, so a short last epoch
+    of one class has fraction 1.
     """
     epoch = F.floor(F.col(t) / epoch_length).cast("long") if epoch_length > 0 else F.lit(0).cast("long")
     counts = sig.groupBy(*by, epoch.alias("epoch")).agg(
@@ -150,8 +151,7 @@ def segment_labels(
     if mode == "presence":
         cell = F.transform("_counts", lambda x: (x > 0).cast("double"))
     elif mode == "fraction":
-        size = F.lit(float(epoch_length)) if epoch_length > 0 else F.col("_n")
-        cell = F.transform("_counts", lambda x: x / size)
+        cell = F.transform("_counts", lambda x: x / F.col("_n"))
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return counts.select(*by, "epoch", cell.alias("label"))

@@ -131,14 +131,16 @@ def filter_block(x: np.ndarray, at_start: bool, at_end: bool, h: np.ndarray, pad
     filter starts from rest.
     """
     reach = len(h)
+    if zero_phase and (at_start or at_end) and len(x) <= pad:
+        raise ValueError(f"a record of {len(x)} samples is not longer than the padding of {pad}")
     if not zero_phase:
         return convolve_causal(x, h)
     left, right = 0, 0
     if at_start:
-        left = min(pad, len(x) - 1)
+        left = pad
         x = np.concatenate([2 * x[0] - x[left:0:-1], x])
     if at_end:
-        right = min(pad, len(x) - left - 1)
+        right = pad
         x = np.concatenate([x, 2 * x[-1] - x[-2 : -right - 2 : -1]])
     hold = np.full(reach, x[0])
     forward = convolve_causal(np.concatenate([hold, x]), h)[reach:]

@@ -29,13 +29,17 @@ def _known(c: str) -> Column:
 
 
 def score_counts(pred: DataFrame, by: Sequence[str] = LABEL, weight: str | None = None) -> DataFrame:
-    """Positives and negatives per distinct score: the input of all curves."""
+    """Positives and negatives per distinct score: the input of all curves.
+
+    Masked targets and missing scores meet in one row of null score and no
+    weight, so a label with masked targets only keeps its (undefined) metric.
+    """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     target = F.col("target").cast("double")
+    known = _known("target") & F.col("score").isNotNull()
     return (
-        pred.where(_known("target") & F.col("score").isNotNull())
-        .groupBy(*by, F.col("score").cast("double").alias("score"))
-        .agg(F.sum(w * target).alias("pos"), F.sum(w * (1.0 - target)).alias("neg"))
+        pred.groupBy(*by, F.when(known, F.col("score").cast("double")).alias("score"))
+        .agg(F.sum(F.when(known, w * target).otherwise(0.0)).alias("pos"), F.sum(F.when(known, w * (1.0 - target)).otherwise(0.0)).alias("neg"))
     )
 
 
@@ -54,7 +58,7 @@ def class_areas(
         counts, by, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, inclusive=True, slice_by=slice_by
     )
     wins = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    gain = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    gain = F.sum(F.col("pos") * _ratio(F.col("tp"), F.col("tp") + F.col("fp")))
     return ranked.groupBy(*by).agg(
         _ratio(wins, F.sum("pos") * F.sum("neg")).alias("auroc"), _ratio(gain, F.sum("pos")).alias("aupr")
     )
@@ -86,12 +90,12 @@ def curve_points(pred: DataFrame, by: Sequence[str] = LABEL) -> DataFrame:
     points = running_sum(
         counts, by, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, inclusive=True, totals=True
     ).withColumnsRenamed({"tp_total": "p", "fp_total": "n"})
-    return points.select(
+    return points.where(F.col("score").isNotNull()).select(
         *by,
         F.col("score").alias("threshold"),
         _ratio(F.col("fp"), F.col("n")).alias("fpr"),
         _ratio(F.col("tp"), F.col("p")).alias("tpr"),
-        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+        _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         _ratio(F.col("tp"), F.col("p")).alias("recall"),
     )
 
@@ -106,7 +110,7 @@ def macro_roc(pred: DataFrame) -> DataFrame:
     by = ["label"]
     counts = score_counts(pred, by)
     steps = running_sum(counts, by, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, totals=True)
-    steps = steps.withColumnsRenamed({"tp_total": "p", "fp_total": "n"}).where("p > 0 and n > 0")
+    steps = steps.withColumnsRenamed({"tp_total": "p", "fp_total": "n"}).where("p > 0 and n > 0 and score is not null")
     x0 = F.col("fp") / F.col("n")
     x1 = (F.col("fp") + F.col("neg")) / F.col("n")
     rise = F.col("pos") / F.col("p")

@@ -28,12 +28,14 @@ def remap_union(frames: Sequence[DataFrame], key: str, order: str | None = None)
     """Stack datasets; record ids become dense and shifted by rows before.
 
     As in the source data model the shift is the number of *rows* (samples) of
-    the earlier datasets, while ids are dense inside each one.
+    the earlier datasets, while ids are dense inside each one, by the
+    smallest ``order`` of an id (the id itself without one).
     """
     parts = []
     shift = F.lit(0).cast("long")
     for frame in frames:
-        dense = position(frame.select(key).distinct(), [], [order or key], "_dense")
+        first = frame.groupBy(key).agg(F.min(order or key).alias("_order"))
+        dense = position(first, [], ["_order", key], "_dense").drop("_order")
         parts.append(frame.join(dense, key).withColumn("record_id", F.col("_dense") + shift).drop("_dense"))
         shift = shift + frame.agg(F.count(F.lit(1))).scalar()
     return align_union(*parts)

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.aggregates import stitch_overlap
-from pulsegrid.scale import position, seeded_hash
+from pulsegrid.scale import position, running_sum, seeded_hash
 
 Scorer = Callable[[np.ndarray], np.ndarray]
+CHUNK_SLICE = 4096
 
 
 def linear_scorer(width: int, outputs: int) -> Scorer:
@@ -86,14 +87,16 @@ def export_features(
 ) -> DataFrame:
     """M3: features per absolute position, with the record's feature length.
 
-    With a stride overlapping positions are averaged, without one chunks are
-    laid end to end. The long form has no limit on record length.
+    With a stride overlapping positions are averaged, without one chunks of
+    any sizes are laid end to end. The long form has no limit on record length.
     """
     if stride is not None:
         feats = stitch_overlap(chunks, by, stride, chunk, values)
     else:
-        placed = chunks.select(*by, chunk, F.size(values).alias("_n"), F.posexplode(values).alias("_i", "value"))
-        feats = placed.select(*by, (F.col(chunk) * F.col("_n") + F.col("_i")).cast("long").alias("pos"), "value")
+        sizes = chunks.select(*by, chunk, F.coalesce(F.size(values), F.lit(0)).cast("long").alias("_n"), F.col(values).alias("_values"))
+        begun = running_sum(sizes, by, [chunk], {"_begin": F.col("_n")}, slice_by=F.floor(F.col(chunk) / CHUNK_SLICE))
+        placed = begun.select(*by, "_begin", F.posexplode("_values").alias("_i", "value"))
+        feats = placed.select(*by, (F.col("_begin") + F.col("_i")).cast("long").alias("pos"), "value")
     lengths = feats.groupBy(*by).agg(F.count(F.lit(1)).alias("length"))
     return feats.join(lengths, list(by))
 

@@ -78,7 +78,12 @@ def normalise_record(sig: DataFrame, by: Sequence[str] = RECORD, skip: Sequence
     scaled = (F.col("value") - F.col("_m")) / (F.col("_s") + F.lit(EPSILON))
     if skip:
         scaled = F.when(F.col("channel").isin(*skip), F.col("value")).otherwise(scaled)
-    return sig.join(stats, list(by)).withColumn("value", scaled).drop("_m", "_s")
+    keys = {k: f"_by_{k}" for k in by}
+    right = stats.withColumnsRenamed(keys)
+    same = F.lit(True)
+    for k, other in keys.items():
+        same = same & sig[k].eqNullSafe(right[other])
+    return sig.join(right, same).withColumn("value", scaled).drop("_m", "_s", *keys.values())
 
 
 def fit_apply_scaler(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
@@ -102,7 +107,8 @@ def resample_linear(
     """Linear resampling to ``n * target // fs`` samples.
 
     Each input sample adds its share to the outputs on both sides of it, so
-    there is no neighbour lookup and shares combine map-side.
+    there is no neighbour lookup and shares combine map-side. An output that
+    needs a null or missing sample is null.
     """
     if fs <= 0 or target <= 0:
         raise ValueError("rates must be positive")
@@ -122,7 +128,11 @@ def resample_linear(
     base = F.floor(place / pace).cast("long")
     share = (place - base * pace) / pace.cast("double")
     weight = F.when(base < at, share).when(at == F.col("_last"), F.lit(1.0)).otherwise(1.0 - share)
-    return outputs.groupBy(*by, F.col("_j").alias(t)).agg(F.sum(F.col(value) * weight).alias(value))
+    given = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    shares = outputs.groupBy(*by, F.col("_j").alias(t)).agg(
+        F.sum(F.when(given, F.col(value) * weight)).alias("_sum"), F.sum(F.when(given, weight)).alias("_have")
+    )
+    return shares.select(*by, t, F.when(F.abs(F.col("_have") - 1.0) < 1e-9, F.col("_sum")).alias(value))
 
 
 def context_blocks(
@@ -131,7 +141,9 @@ def context_blocks(
     """Rows (by, block, first, last, values): bounded arrays with context.
 
     A block holds its own ``block`` samples plus ``left`` and ``right``
-    neighbours; ``last`` is the last sample index of the record.
+    neighbours; ``last`` is the last sample index of the record. Samples of a
+    block must follow each other without a hole or a repeat, else the block
+    raises an error.
     """
     sizes = sig.groupBy(*by).agg(F.max(t).alias("last"))
     at = F.col(t).cast("long")
@@ -140,12 +152,18 @@ def context_blocks(
     spread = sig.join(sizes, list(by)).withColumn("block", F.explode(F.sequence(low, high)))
     cells = F.array_sort(F.collect_list(F.struct(at.alias("t"), F.col(value).cast("double").alias("v"))))
     grouped = spread.groupBy(*by, "block").agg(F.max("last").alias("last"), cells.alias("_cells"))
+    span = F.element_at("_cells", -1)["t"] - F.col("_cells")[0]["t"] + 1
+    begins = F.greatest(F.col("block") * block - left, F.lit(0))
+    ends = F.least((F.col("block") + 1) * block + right - 1, F.col("last"))
+    dense = (F.size("_cells") == span) & (F.col("_cells")[0]["t"] == begins) & (F.element_at("_cells", -1)["t"] == ends)
     return grouped.select(
         *by,
         F.col("block").cast("long").alias("block"),
         F.col("last").cast("long").alias("last"),
         F.col("_cells")[0]["t"].alias("first"),
-        F.transform("_cells", lambda x: x["v"]).alias("values"),
+        F.when(dense, F.transform("_cells", lambda x: x["v"]))
+        .otherwise(F.raise_error(F.concat(F.lit("samples are missing or repeated in block "), F.col("block").cast("string"))))
+        .alias("values"),
     )
 
 

@@ -13,7 +13,7 @@ from pulsegrid.functions.labels import split_targets
 from pulsegrid.operators.reshape import probe_pairs
 from pulsegrid.operators.splits import fold_split
 from pulsegrid.sources.sinks import write_by_split
-from pulsegrid.sources.tables import record_id
+from pulsegrid.sources.tables import record_id, usable_id
 
 
 @dataclass(frozen=True)
@@ -87,7 +87,7 @@ def build_pairs(df: DataFrame, spec: DatasetSpec, names: Sequence[str]) -> DataF
     value = F.col(spec.label)
     indices = value.cast("array<int>") if is_list else F.array_compact(F.array(value.cast("int")))
     indices = F.coalesce(indices, F.array().cast("array<int>"))
-    return probe_pairs(rows, record_id(present), F.col("_split"), indices, names)
+    return probe_pairs(rows, record_id(present, usable_id(rows)), F.col("_split"), indices, names)
 
 
 def vocabulary_names(vocab: DataFrame, label_set: str | None) -> list[str]:

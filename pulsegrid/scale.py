@@ -21,6 +21,16 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def same_slice(rows: DataFrame, slices: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join values of a slice to its rows; a null key is a group like any other."""
+    names = {k: f"_at_{i}" for i, k in enumerate([*by, SLICE])}
+    right = slices.withColumnsRenamed(names)
+    condition = F.lit(True)
+    for k, other in names.items():
+        condition = condition & rows[k].eqNullSafe(right[other])
+    return rows.join(right, condition).drop(*names.values())
+
+
 def running_sum(
     df: DataFrame,
     by: Sequence[str],
@@ -38,8 +48,8 @@ def running_sum(
     ``slice_by`` is an integer expression that never decreases along ``order``
     (a day number, a block of a position); it is evaluated in place. Without
     it the rows are range-partitioned on ``by + order`` and the layout is
-    checkpointed, so totals and rows agree even after a lost executor. Group
-    keys are not null: rows with a null key drop out, as in any equi join.
+    checkpointed, so totals and rows agree even after a lost executor. Rows
+    with a null key form a group of their own.
     """
     by = list(by)
     weights = {f"_w_{out}": w for out, w in sums.items()}
@@ -72,7 +82,7 @@ def running_sum(
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
     local = work.withColumns({f"_l{w}": F.coalesce(F.sum(w).over(inner), F.lit(0)) for w in weights})
-    joined = local.join(offsets, [*grouped, SLICE])
+    joined = same_slice(local, offsets, grouped)
     return joined.select(
         *df.columns,
         *[(F.col(f"_l_w_{out}") + F.col(f"_o_w_{out}")).alias(out) for out in sums],
@@ -136,7 +146,7 @@ def carry(
     ends = ends.select(
         *grouped, SLICE, *[F.last(f"_e_{o}", ignorenulls=True).over(outer[ahead]).alias(f"_c_{o}") for o, _, ahead in wanted]
     )
-    joined = local.join(ends, [*grouped, SLICE])
+    joined = same_slice(local, ends, grouped)
     return joined.select(*df.columns, *[F.coalesce(f"_l_{o}", f"_c_{o}").alias(o) for o, _, _ in wanted])
 
 

@@ -132,21 +132,35 @@ def partition_name(path: Column) -> Column:
     return F.concat_ws("-", F.slice(F.split(path, "/"), 2, 2))
 
 
-def record_id(candidates: Mapping[str, str], ) -> Column:
-    """Stem of the first usable id column; numeric ``data`` is skipped.
+# --- fixed values: id columns in order of preference, numeric types ---
+ID_COLUMNS = ("ecg_id", "data_original", "data", "filename")
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
-    ``candidates`` maps the present columns to their simple type.
+
+def record_id(candidates: Mapping[str, str], usable: Column | None = None) -> Column:
+    """Stem of one id column for the whole table; numeric ``data`` is skipped.
+
+    ``candidates`` maps the present columns to their simple type. ``usable``
+    names the column to take (see ``usable_id``); without it the first of
+    them is taken.
     """
-    order = ("ecg_id", "data_original", "data", "filename")
-    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
-    stems = [
-        F.when(path_stem(F.col(c)) != "", path_stem(F.col(c)))
-        for c in order
-        if c in candidates and not (c == "data" and candidates[c] in numeric)
-    ]
-    if not stems:
-        raise ValueError(f"none of {order} is present")
-    return F.coalesce(*stems)
+    known = [c for c in ID_COLUMNS if c in candidates and not (c == "data" and candidates[c] in NUMERIC)]
+    if not known:
+        raise ValueError(f"none of {ID_COLUMNS} is present")
+    if usable is None:
+        return path_stem(F.col(known[0]))
+    out = F.raise_error(F.lit(f"no id column of {known} is filled in every row"))
+    for c in reversed(known):
+        out = F.when(usable == c, path_stem(F.col(c))).otherwise(out)
+    return out
+
+
+def usable_id(df: DataFrame) -> Column:
+    """Name of the first id column with a usable value in every row, as a scalar subquery."""
+    kinds = dict(df.dtypes)
+    known = [c for c in ID_COLUMNS if c in kinds and not (c == "data" and kinds[c] in NUMERIC)]
+    filled = [F.when(F.count_if(path_stem(F.col(c)) == "") == 0, F.lit(c)) for c in known]
+    return df.agg(F.coalesce(*filled, F.lit(None).cast("string")).alias("name")).scalar()
 
 
 def align_blocks(
