@@ -29,10 +29,9 @@ def add_columns(
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
             out = {name: [] for name in kinds}
-            for at in range(0, len(texts), STEP):
-                for name, values in work(texts[at : at + STEP]).items():
+            for at in range(0, batch.num_rows, STEP):
+                for name, values in work(batch.column("_text").slice(at, STEP).to_pylist()).items():
                     out[name].extend(values)
             arrays = [batch.column(f.name) for f in kept] + [pa.array(out[n], type=k) for n, k in kinds.items()]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + list(kinds))
