@@ -34,8 +34,9 @@ SEPARATORS = " ._*~-"
 SUBSTITUTED, DROPPED, BROKEN, KEPT, HALVED = 1.0, 0.2, 2.5, 6.0, 0.7
 _EDGE = " .,;:?\"'()[]{}<>#%&*_~^`/\\=-…“”‘’«»"
 _SIGNS = "".join(map(re.escape, LOOKALIKE))
-_SUSPECT = re.compile(rf"[^\W\d_].*[{_SIGNS}]|[{_SIGNS}].*[^\W\d_]|([^\W\d_])\1\1|(?:[^\W\d_][._*~-]+){{2}}[^\W\d_]")
-_SPACED = re.compile(rf"(?<![\w{_SIGNS}])(?:[^\W_](?: |[._*~-]){{1,2}}|[{_SIGNS}] ){{3,}}[^\W_](?![\w])")
+_MARKS = "".join(re.escape(c) for c in LOOKALIKE if not c.isalnum())
+_SUSPECT = re.compile(rf"[{_SIGNS}]|([^\W\d_])\1|(?:[^\W\d_][._*~-]+){{2}}[^\W\d_]")
+_SPACED = re.compile(rf"(?<![\w{_SIGNS}])(?:[^\W_](?:\s|[._*~-]){{1,2}}|[{_MARKS}]\s){{2,}}(?:[^\W_]|[{_MARKS}])(?![\w])")
 
 
 @lru_cache(maxsize=1)
@@ -100,7 +101,7 @@ def lattice(text: str) -> list[list[tuple[str, float]]]:
         char, n = run[1], len(run[0])
         if char.isalpha():
             out.append([(char, 0.0)] if n == 1 else [(char * 2, 0.0 if n == 2 else HALVED), (char, HALVED)])
-        elif char in SEPARATORS:
+        elif char in SEPARATORS or char.isspace():
             out.append([("", DROPPED), (" ", BROKEN if n == 1 else DROPPED)])
         elif char in LOOKALIKE:
             readings = [(c * k, SUBSTITUTED) for c in LOOKALIKE[char] for k in range(1, min(n, 2) + 1)]
@@ -110,8 +111,8 @@ def lattice(text: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(text: str, costs: np.ndarray) -> str:
-    """Cheapest reading of a lattice; the state is the last two letter classes."""
+def _cheapest(text: str, costs: np.ndarray) -> tuple[float, str]:
+    """Cost and letters of the cheapest reading of a lattice; the state is the last two letter classes."""
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for readings in lattice(text):
         following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
@@ -126,20 +127,34 @@ def decode(text: str, costs: np.ndarray) -> str:
                 if (x, y) not in following or total < following[x, y][0]:
                     following[x, y] = (total, (trail, letters))
         states = following
-    end = min(states, key=lambda s: states[s][0] + costs[(s[0] * CLASSES + s[1]) * CLASSES])
+    whole = {s: cost + costs[(s[0] * CLASSES + s[1]) * CLASSES] for s, (cost, _) in states.items()}
+    end = min(whole, key=whole.get)
     trail, out = states[end][1], []
     while trail is not None:
         out.append(trail[1])
         trail = trail[0]
-    return "".join(reversed(out))
+    return float(whole[end]), "".join(reversed(out))
+
+
+def decode(text: str, costs: np.ndarray) -> str:
+    """Cheapest reading of a lattice."""
+    return _cheapest(text, costs)[1]
+
+
+def _forms(token: str) -> list[str]:
+    """A token without signs around it: without final ! | + and, if it had any, also with them, as they may be letters."""
+    whole = token.strip(_EDGE)
+    plain = whole.rstrip("!|+")
+    return [plain, whole] if whole != plain else [plain]
 
 
 def restore_token(token: str, costs: np.ndarray) -> list[str]:
-    """Words that a lower-case token may stand for: as written, and as decoded if it looks disguised."""
-    plain = token.strip(_EDGE).rstrip("!|+")
-    words = [w for w in re.split(r"[\W\d_]+", plain) if w]
-    if _SUSPECT.search(plain):
-        words += decode(plain, costs).split()
+    """Words that a lower-case token may stand for: as written, and as decoded if it may be disguised."""
+    forms = _forms(token)
+    words = [w for w in re.split(r"[\W\d_]+", forms[0]) if w]
+    for form in forms:
+        if _SUSPECT.search(form):
+            words += decode(form, costs).split()
     return words
 
 
@@ -148,8 +163,8 @@ def restore_text(text: str, costs: np.ndarray) -> str:
     joined = _SPACED.sub(lambda m: decode(m[0].lower(), costs), text)
 
     def one(match):
-        plain = match[0].lower().strip(_EDGE).rstrip("!|+")
-        return decode(plain, costs) if _SUSPECT.search(plain) else match[0]
+        forms = _forms(match[0].lower())
+        return min(_cheapest(f, costs) for f in forms)[1] if any(map(_SUSPECT.search, forms)) else match[0]
 
     return re.sub(r"\S+", one, joined)
 
