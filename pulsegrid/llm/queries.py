@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import credentials, fingerprints, jaccard, language, lines, mixing, packing, rules, toxicity, urls
+from pulsegrid.llm import credentials, fingerprints, jaccard, language, lines, mixing, packing, rules, tokens, toxicity, urls
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -163,6 +163,12 @@ def op10_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query()
+def op13_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it is above 4,096 tokens."""
+    return tokens.count_tokens(table(spark, sf, "documents"))
+
+
 @query()
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""
