@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import centroids, credentials, fingerprints, jaccard, language, lines, mixing, packing, rules, tokens, toxicity, urls
+from pulsegrid.llm import centroids, credentials, fingerprints, jaccard, language, lines, mixing, packing, rules, tokens, toxicity, trie, urls
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -163,6 +163,12 @@ def op10_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query(trie.trie_sql())
+def op11_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf, "conversations"))
+
+
 @query(centroids.cluster_sql())
 def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
     """Cluster, distance and inertia of every vector of 64 finite components."""
