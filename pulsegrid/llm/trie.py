@@ -163,7 +163,10 @@ def screen(prefixes: DataFrame, rows: int) -> tuple[int, np.ndarray]:
 
 
 def mark(prefixes: DataFrame, bits: int, shared: np.ndarray) -> DataFrame:
-    """Add ``kind``: 0 possibly shared, 1 the first prefix of a conversation that is surely its own, 2 one after it."""
+    """Add ``kind``: 0 possibly shared, 1 surely single after one that may be shared, 2 surely single after such a one.
+
+    A prefix below a single one is single too, yet its own estimate may say two: it is then grouped, to a group of one.
+    """
     bitmap = prefixes.sparkSession.sparkContext.broadcast(shared)
 
     def crowded(one: np.ndarray, two: np.ndarray, depth: np.ndarray) -> np.ndarray:
@@ -288,7 +291,8 @@ def prefix_trie(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     terms = nodes.where((gain > 0) | (F.col("children") == 0)).select(
         F.col("rep").alias("c"), "depth", none.alias("p1"), none.alias("p2"), gain.alias("gain"), (F.col("children") == 0).cast("long").alias("leaf")
     )
-    terms = terms.union(tops.select("c", "depth", none, none, zero, one))
+    # A conversation has one end, in a node of its own or in a grouped one.
+    terms = terms.union(marked.where((F.col("kind") > 0) & alone).select("c", "depth", none, none, zero, one))
     spread = terms.union(maybe.select("c", "depth", "p1", "p2", zero, zero)).withColumn("s", -F.shiftright("depth", SLICE_BITS))
     # Terms come before the prefix of their depth, which counts them.
     running = scan(spread, [F.col("depth").desc(), F.col("p1").asc_nulls_first()], {"saved": F.col("gain"), "leaves": F.col("leaf")}, F.sum)
@@ -310,7 +314,8 @@ def prefix_trie(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
         )
 
     known = nodes.select(F.col("p1").alias("q1"), F.col("p2").alias("q2"), (F.col("depth") + 1).alias("depth"), F.col("rep").alias("parent_conv_id"))
-    deep = shared.where("depth > 1").union(tail(tops.where("depth > 1"))).join(known.where("depth > 1"), ["q1", "q2", "depth"])
+    deep = shared.where("depth > 1").union(tail(tops.where("depth > 1"))).join(known.where("depth > 1"), ["q1", "q2", "depth"], "left")
+    deep = deep.withColumn("parent_conv_id", F.coalesce("parent_conv_id", "conv_id"))  # not grouped: single
     # The root, a parent of very many, is one number.
     root = F.when(F.col("depth") == 1, F.lit(facts["top"]).cast("long"))
     flat = shared.where("depth <= 1").union(tail(tops.where("depth = 1"))).withColumn("parent_conv_id", root)
