@@ -273,7 +273,7 @@ def prefix_trie(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     numbered = cut(numbered_turns(rows, conv, turn, role, text))
     prefixes = cut(prefix_rows(*rebuilt_conversations(numbered)))
     facts = prefixes.agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("top")).first()
-    marked = mark(prefixes, *screen(prefixes, facts["n"]))
+    marked = cut(mark(prefixes, *screen(prefixes, facts["n"])))
     maybe = marked.where("kind = 0")
     alone = F.col("size") == F.col("depth")
     grouped = maybe.groupBy(*NODE).agg(
