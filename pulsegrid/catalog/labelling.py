@@ -418,7 +418,7 @@ def strata_labels(spark, sf):
     )
 
 
-_FIVE = [0.2] * 5
+_FIVE, _EIGHT = [0.2] * 5, [0.8, 0.1, 0.1]
 
 
 @query()
@@ -431,7 +431,7 @@ def stratified_folds(spark, sf):
 def group_stratified_folds(spark, sf):
     """K2: whole brands and sizes stay together."""
     rows = lab(spark, sf).withColumn("patient", F.concat_ws("-", "p_brand", "p_size"))
-    return K.stratified_folds(rows, "p_partkey", "labels", [0.8, 0.1, 0.1], 7, group="patient").select("p_partkey", "patient", "strat_fold")
+    return K.stratified_folds(rows, "p_partkey", "labels", _EIGHT, 7, group="patient").select("p_partkey", "patient", "strat_fold")
 
 
 @query()
@@ -483,27 +483,42 @@ def split_leaks(spark, sf):
     return K.split_leaks(rows, "patient", "split")
 
 
-def _shares(rows, fold, folds):
-    """Rows per label and whether each fold holds its part within five points."""
+def _shares(rows, fold, ratios):
+    """Rows per label and whether each fold holds its part within five points, or within one row."""
     long = rows.select(fold, F.explode("labels").alias("label"))
-    counts = long.groupBy("label").pivot(fold, list(range(folds))).count().fillna(0)
-    total = sum((F.col(str(i)) for i in range(folds)), F.lit(0))
+    counts = long.groupBy("label").pivot(fold, list(range(len(ratios)))).count().fillna(0)
+    total = sum((F.col(str(i)) for i in range(len(ratios))), F.lit(0))
     close = F.lit(True)
-    for i in range(folds):
-        close = close & (F.abs(F.col(str(i)) / total - 1.0 / folds) <= 0.05)
-    return counts.select("label", total.cast("long").alias("total"), (close | (total < 10 * folds)).alias("balanced"))
+    for i, ratio in enumerate(ratios):
+        close = close & (F.abs(F.col(str(i)) - total * ratio) <= F.greatest(total * 0.05, F.lit(1.0)))
+    return counts.select("label", total.cast("long").alias("total"), close.alias("balanced"))
 
 
 @query("WITH " + LAB_LONG + " SELECT label, count(*) AS total, true AS balanced FROM lab_long GROUP BY 1")
 def stratified_contract(spark, sf):
     """K1: every label is spread evenly and no row is lost."""
-    return _shares(K.stratified_folds(lab(spark, sf), "p_partkey", "labels", _FIVE, 7), "strat_fold", 5)
+    return _shares(K.stratified_folds(lab(spark, sf), "p_partkey", "labels", _FIVE, 7), "strat_fold", _FIVE)
 
 
 @query("WITH " + LAB_LONG + " SELECT label, count(*) AS total, true AS balanced FROM lab_long GROUP BY 1")
 def batched_contract(spark, sf):
-    """K3: hash batches keep the shares."""
-    return _shares(K.stratified_folds(lab(spark, sf), "p_partkey", "labels", _FIVE, 7, buckets=2), "strat_fold", 5)
+    """K3: batches that carry their totals keep the shares."""
+    return _shares(lab(spark, sf).join(batched_folds(spark, sf), "p_partkey"), "strat_fold", _FIVE)
+
+
+@query("WITH " + LAB_LONG + " SELECT label, count(*) AS total, true AS balanced FROM lab_long GROUP BY 1")
+def group_shares_contract(spark, sf):
+    """K2: the labels of patients of unequal weight are spread evenly too."""
+    rows = group_stratified_folds(spark, sf).select("p_partkey", "strat_fold")
+    return _shares(lab(spark, sf).join(rows, "p_partkey"), "strat_fold", _EIGHT)
+
+
+@query("WITH " + LAB_LONG + " SELECT label, count(*) AS total, true AS balanced FROM lab_long GROUP BY 1")
+def heavy_groups_contract(spark, sf):
+    """K2: three patients with a twentieth of all rows each, among patients of one row."""
+    heavy = F.col("p_partkey") % 20 < 3
+    rows = lab(spark, sf).withColumn("patient", F.when(heavy, F.col("p_partkey") % 20).otherwise(F.col("p_partkey") + 1000))
+    return _shares(K.stratified_folds(rows, "p_partkey", "labels", _FIVE, 7, group="patient"), "strat_fold", _FIVE)
 
 
 @query("SELECT count(DISTINCT p_brand || '-' || p_size) AS patients, count(*) AS rows, CAST(0 AS BIGINT) AS leaks, CAST(0 AS BIGINT) AS unassigned FROM part")
@@ -549,14 +564,14 @@ def holdout_contract(spark, sf):
 SELECT split, CASE WHEN split = 'test' THEN count(*) END AS kept_whole, true AS one_per_patient, true AS near_share FROM p GROUP BY split"""
 )
 def label_efficiency_contract(spark, sf):
-    """K5: test untouched; other splits hold about a quarter of the patients, one record each."""
+    """K5: test untouched; other splits hold a quarter of the patients within five points, one record each."""
     sizes = _patients(spark, sf).groupBy("split").agg(F.count_distinct("patient").alias("all"))
     got = label_efficiency(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("patient").alias("p"))
     test = F.col("split") == "test"
     return got.join(sizes, "split").select(
         "split", F.when(test, F.col("n")).alias("kept_whole"),
         (test | (F.col("n") == F.col("p"))).alias("one_per_patient"),
-        (test | (F.abs(F.col("p") / F.col("all") - 0.25) <= 0.15)).alias("near_share"),
+        (test | (F.abs(F.col("p") - F.col("all") * 0.25) <= F.greatest(F.col("all") * 0.05, F.lit(1.0)))).alias("near_share"),
     )
 
 

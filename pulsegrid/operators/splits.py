@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from pulsegrid.functions.clean import age_twenty_name
 from pulsegrid.operators.aggregates import group_label_counts
 from pulsegrid.operators.joins import attach_split, flag_lookup
 from pulsegrid.operators.reshape import align_union, duplicate_flag, first_per_patient, sample_exact
 from pulsegrid.scale import position, seeded_hash, unit_interval
+from pulsegrid.session import cut
 
 # --- fixed values -----------------------------------------------------------
 GOLDEN = 0.6180339887498949
@@ -19,6 +24,12 @@ SPLIT_FOLDS = {"train": 0, "val": 8, "valid": 8, "validation": 8, "test": 9}
 UNLABELLED_FOLD = -1
 UNASSIGNED_FOLD = -2
 # -----------------------------------------------------------------------------
+HEAVY = 16
+HALVES = 6
+SWEEPS = 20
+PARTNERS = 64
+CLOSE = 0.03
+MAX_LABELS = 100_000
 
 
 def _check_ratios(ratios: Sequence[float]) -> None:
@@ -26,38 +37,159 @@ def _check_ratios(ratios: Sequence[float]) -> None:
         raise ValueError("ratios must be non-negative and sum to one")
 
 
+def water_fill(need: np.ndarray, ratios: np.ndarray, amount: float) -> np.ndarray:
+    """Shares of ``amount`` per subset that leave what is still needed in the ratio of the subsets.
+
+    Subset i gets need[i] - level * ratios[i], never less than nothing; the
+    level is the one at which the parts add up to ``amount``.
+    """
+    use = ratios > 0
+    if amount <= 0 or not use.any():
+        return ratios / ratios.sum()
+    per = np.where(use, need / np.where(use, ratios, 1.0), -np.inf)
+    order = np.argsort(-per, kind="stable")
+    order = order[use[order]]
+    sums, widths = np.cumsum(need[order]), np.cumsum(ratios[order])
+    levels = (sums - amount) / widths
+    last = np.flatnonzero(per[order] > levels)[-1]  # the first subset always lies above its own level
+    parts = np.where(use, np.maximum(need - levels[last] * ratios, 0.0), 0.0)
+    return parts / parts.sum()
+
+
+def place_heavy(rows: Sequence[tuple], totals: dict, need: dict, seed: int) -> dict:
+    """Subset of every group of ``rows`` (group, label, n); ``need`` goes down by what is placed.
+
+    The groups that hold most of some label come first, so those of rare
+    labels and those of many rows. A group goes where its labels are needed
+    most, each counted by its share of the label, so that the squared
+    shortfall of all labels is least afterwards; equal subsets are drawn from.
+    Then groups move, or change places with one of ``PARTNERS`` drawn others
+    while a label is off by more than ``CLOSE`` of its rows, as long as that
+    lowers the shortfall, ``SWEEPS`` times over all of them at most.
+    """
+    groups = defaultdict(dict)
+    for group, label, n in rows:
+        groups[group][label] = n
+    rng, placed = np.random.default_rng(seed), {}
+    part = {g: max(n / totals[label] for label, n in held.items()) for g, held in groups.items()}
+    for group in sorted(groups, key=lambda g: (-part[g], str(g))):
+        held = groups[group]
+        pull = sum(n * need[label] / totals[label] ** 2 for label, n in held.items())
+        best = np.flatnonzero(pull >= pull.max() - 1e-12)
+        subset = int(best[rng.integers(len(best))])
+        placed[group] = subset
+        for label, n in held.items():
+            need[label][subset] -= n
+    everyone = sorted(groups, key=str)
+
+    def shift(held: dict, at: int, to: int) -> None:
+        for label, n in held.items():
+            need[label][at] += n
+            need[label][to] -= n
+
+    for _ in range(SWEEPS):
+        moved = False
+        for group in everyone:
+            held, at = groups[group], placed[group]
+            gain = sum(n * (need[label] - need[label][at] - n) / totals[label] ** 2 for label, n in held.items())
+            gain[at] = 0.0
+            to = int(gain.argmax())
+            if gain[to] > 1e-12:
+                moved, placed[group] = True, to
+                shift(held, at, to)
+                continue
+            if all(np.abs(need[label]).max() <= max(CLOSE * totals[label], 1.0) for label in held):
+                continue
+            for other in (everyone[i] for i in rng.integers(len(everyone), size=PARTNERS)):
+                if (to := placed[other]) == at:
+                    continue
+                change = defaultdict(int, held)
+                for label, n in groups[other].items():
+                    change[label] -= n
+                if sum(n * (need[label][to] - need[label][at] - n) / totals[label] ** 2 for label, n in change.items()) > 1e-12:
+                    moved, placed[group], placed[other] = True, to, at
+                    shift(change, at, to)
+                    break
+        if not moved:
+            break
+    return placed
+
+
 def stratify(counts: DataFrame, group: str, ratios: Sequence[float], seed: int, buckets: int = 1) -> DataFrame:
-    """K1, K3: (group, subset) for the groups of ``counts(group, label, n)``.
+    """K1-K3: (group, subset) for the groups of ``counts(group, label, n)``.
 
-    Each group joins the stratum of its rarest label. A stratum is walked by
-    falling weight and a seeded hash; positions are placed on a golden-ratio
-    sequence over the cumulative ratios, so every prefix of the walk is split
-    in proportion. Strata are walked in slices, never in one task. With
-    ``buckets`` the groups are solved in independent hash batches.
+    A table of what every label still needs in every subset is kept, with one
+    row per label. First come heavy groups, those with more than one part in
+    ``HEAVY`` of what a subset needs of some label; they are placed one by
+    one, and no label has more than ``HEAVY`` of them per subset. All other
+    groups join the stratum of their rarest label and are placed in batches
+    by a hash. In a batch, each stratum is dealt over the subsets so that its
+    label's remaining need becomes proportional again; it is walked by falling
+    weight on a golden-ratio sequence, in slices, so every prefix is dealt
+    alike. What a batch placed of all labels is taken off the needs before
+    the next, so totals are carried from batch to batch and the last, small
+    batches settle what secondary labels have moved. ``buckets`` is the number
+    of equal batches; the last one is halved ``HALVES`` times.
+
+    More than ``MAX_LABELS`` labels are an error. Groups without labels are
+    not in ``counts``; a null group is placed like any other.
     """
     _check_ratios(ratios)
-    work = counts.withColumn("_bucket", F.pmod(seeded_hash(seed + 7, group), F.lit(buckets)))
-    totals = work.groupBy("_bucket", "label").agg(F.sum("n").alias("_total"))
-    rarest = (
-        work.join(totals, ["_bucket", "label"])
-        .groupBy("_bucket", group)
+    spark, k = counts.sparkSession, len(ratios)
+    shares = np.array(ratios, dtype=float)
+    counts = cut(counts.where(F.col("n") > 0))
+    totals = counts.groupBy("label").agg(F.sum("n").alias("_total"))
+    found = {r["label"]: r["_total"] for r in totals.limit(MAX_LABELS + 1).collect()}
+    if len(found) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    need = {label: shares * n for label, n in found.items()}
+
+    unit = unit_interval(seeded_hash(seed + 7, group))
+    last = F.lit(float(buckets)) * unit - (buckets - 1)
+    halved = F.least(F.floor(-F.log2(F.greatest(1.0 - last, F.lit(2.0**-40)))), F.lit(HALVES))
+    batch = F.when(last < 0, F.floor(unit * buckets)).otherwise(buckets - 1 + halved).cast("int")
+    per_group = (
+        counts.join(F.broadcast(totals.withColumnRenamed("label", "_label")), F.col("label").eqNullSafe(F.col("_label")))
+        .groupBy(group)
         .agg(
             F.min_by(F.struct("label", "n"), F.struct("_total", "label")).alias("_pick"),
+            F.bool_or(F.col("n") * (HEAVY * k) > F.col("_total")).alias("_heavy"),
         )
-        .select("_bucket", group, F.col("_pick.label").alias("_stratum"), (-F.col("_pick.n")).alias("_weight"))
-        .withColumn("_hash", seeded_hash(seed, group))
+        .select(group, F.col("_pick.label").alias("_stratum"), (-F.col("_pick.n")).alias("_weight"), "_heavy", batch.alias("_batch"))
     )
-    walked = position(rarest, ["_bucket", "_stratum"], ["_weight", "_hash", group], "_pos")
-    turn = unit_interval(seeded_hash(seed + 1, "_bucket", "_stratum"))
+    per_group = cut(per_group)
+    one = per_group.select(F.col(group).alias("_g")).where("_heavy")
+    heavy = counts.join(F.broadcast(one), F.col(group).eqNullSafe(F.col("_g"))).select(group, "label", "n")
+    placed = place_heavy([tuple(r) for r in heavy.collect()], found, need, seed)
+    kind = counts.schema[group].dataType
+    fields = StructType([StructField(group, kind), StructField("subset", IntegerType())])
+    done = [spark.createDataFrame(list(placed.items()), fields)]
+
+    light = per_group.where("not _heavy").withColumn("_hash", seeded_hash(seed, group))
+    walked = cut(position(light, ["_batch", "_stratum"], ["_weight", "_hash", group], "_pos"))
+    turn = unit_interval(seeded_hash(seed + 1, "_batch", "_stratum"))
     at = F.col("_pos") * F.lit(GOLDEN) + turn
-    at = at - F.floor(at)
-    subset, edge = F.lit(len(ratios) - 1), 0.0
-    cases = None
-    for i, ratio in enumerate(ratios[:-1]):
-        edge += ratio
-        cases = F.when(at < edge, i) if cases is None else cases.when(at < edge, i)
-    subset = subset if cases is None else cases.otherwise(len(ratios) - 1)
-    return walked.select(group, subset.cast("int").alias("subset"))
+    walked = walked.select(group, "_stratum", "_batch", (-F.col("_weight")).alias("_weight"), (at - F.floor(at)).alias("_at"))
+    amounts = defaultdict(dict)
+    for r in walked.groupBy("_batch", "_stratum").agg(F.sum("_weight").alias("n")).collect():
+        amounts[r["_batch"]][r["_stratum"]] = r["n"]
+    label_type = counts.schema["label"].dataType
+    edge_type = StructType([StructField("_label", label_type), StructField("_edges", ArrayType(DoubleType()))])
+    for b in sorted(amounts):
+        edges = [
+            (label, [float(x) for x in np.cumsum(water_fill(need[label], shares, n))[:-1]]) for label, n in amounts[b].items()
+        ]
+        table = F.broadcast(spark.createDataFrame(edges, edge_type))  # at most MAX_LABELS rows
+        rows = walked.where(F.col("_batch") == b)
+        subset = F.size(F.filter("_edges", lambda e: e <= F.col("_at")))
+        dealt = rows.join(table, F.col("_stratum").eqNullSafe(F.col("_label"))).select(group, subset.alias("subset"))
+        done.append(dealt)
+        if b < max(amounts):
+            moved = dealt.withColumnRenamed(group, "_g")
+            taken = counts.join(moved, F.col(group).eqNullSafe(F.col("_g"))).groupBy("label", "subset").agg(F.sum("n").alias("n"))
+            for r in taken.collect():
+                need[r["label"]][r["subset"]] -= r["n"]
+    return reduce(DataFrame.union, done)
 
 
 def stratified_folds(
@@ -68,7 +200,8 @@ def stratified_folds(
     key = group or record
     counts, _ = group_label_counts(df, key, labels)
     folds = stratify(counts, key, ratios, seed, buckets).withColumnRenamed("subset", out)
-    joined = df.join(folds, key, "left")
+    folds = folds.withColumnRenamed(key, "_key")
+    joined = df.join(folds, df[key].eqNullSafe(folds["_key"]), "left").drop("_key")
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit(UNLABELLED_FOLD)))
 
 
