@@ -102,17 +102,35 @@ SELECT agg AS aggregation, metric, label, round(value, 6) + 0.0 AS value FROM a
 SELECT x.agg, 'composite_score', 'all', round(1 - x.value + y.value, 6) FROM a x JOIN a y ON x.agg = y.agg AND x.metric = 'auroc' AND x.label = 'macro' AND y.metric = 'mae' AND y.label = 'micro'"""
 
 
-@query(_EVAL)
-def evaluation_report(spark, sf):
-    """All metrics per sample and per record."""
+def _evaluated(spark, sf, **settings):
     number = F.col("event_type") == "view"
     rows = table(spark, sf, "events").select(
         F.col("event_id").alias("sample_id"), F.col("user_id").alias("record_id"), F.col("event_type").alias("label"),
         F.when(number, F.col("user_id") / 10.0).otherwise((F.col("user_id") % 2).cast("double")).alias("target"),
         F.when(number, F.col("value")).otherwise(F.col("value") / 50).alias("score"),
     )
-    out = evaluate.evaluate(rows, numeric=["view"])
-    return out.select("aggregation", "metric", "label", r6("value").alias("value"))
+    return evaluate.evaluate(rows, numeric=["view"], **settings)
+
+
+@query(_EVAL)
+def evaluation_report(spark, sf):
+    """All metrics per sample and per record."""
+    return _evaluated(spark, sf).select("aggregation", "metric", "label", r6("value").alias("value"))
+
+
+@query()
+def evaluation_intervals(spark, sf):
+    """The report with a thousand replicates and bounds for every value."""
+    out = _evaluated(spark, sf, replicates=1000, seed=11)
+    return out.select("aggregation", "metric", "label", *[r6(c).alias(c) for c in ("value", "low", "high")], "nulls")
+
+
+@query("SELECT *, true AS inside, CAST(0 AS BIGINT) AS nulls FROM (" + _EVAL + ")")
+def evaluation_intervals_contract(spark, sf):
+    """The report's values, each inside its interval, and no undefined replicate."""
+    return evaluation_intervals(spark, sf).select(
+        "aggregation", "metric", "label", "value", F.col("value").between(F.col("low"), F.col("high")).alias("inside"), "nulls"
+    )
 
 
 @query(

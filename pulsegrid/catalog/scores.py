@@ -339,24 +339,24 @@ def _sliced_auroc(rows, by, weight=None):
 @query()
 def bootstrap_auroc(spark, sf):
     """Seeded interval of the area per class."""
-    bounds, _ = B.empirical_interval(pred(spark, sf), _sliced_auroc, replicates=1000, seed=42)
+    bounds, _ = B.empirical_interval(pred(spark, sf), B.AUROC, replicates=1000, seed=42)
     return bounds.select("label", *[r6(c).alias(c) for c in ("value", "low", "high")], "nulls")
 
 
 @query("WITH " + KNOWN + _AUC + " SELECT label, round(value, 6) + 0.0 AS value, true AS inside, CAST(0 AS BIGINT) AS nulls FROM pairs")
 def bootstrap_contract(spark, sf):
     """The point value lies inside its interval."""
-    bounds, _ = B.empirical_interval(pred(spark, sf), _sliced_auroc, replicates=1000, seed=42)
+    bounds, _ = B.empirical_interval(pred(spark, sf), B.AUROC, replicates=1000, seed=42)
     return bounds.select("label", r6("value").alias("value"), F.col("value").between(F.col("low"), F.col("high")).alias("inside"), "nulls")
 
 
 @query("SELECT CAST(r AS INTEGER) AS replicate, (SELECT count(*) FROM documents) AS drawn, true AS known FROM (SELECT unnest(range(0, 1000)) AS r)")
 def draw_contract(spark, sf):
     """O3: every replicate draws as many rows as there are samples."""
-    rows = pred(spark, sf)
-    numbered, size = B.numbered_samples(rows)
-    return B.draws(spark, size, 1000, 42).join(numbered, "idx", "left").groupBy("replicate").agg(
-        F.sum("weight").cast("long").alias("drawn"), F.bool_and(F.col("sample_id").isNotNull()).alias("known")
+    samples = pred(spark, sf).select("sample_id").distinct()
+    known = samples.withColumn("known", F.lit(True))
+    return B.sample_weights(samples, 1000, 42).join(known, "sample_id", "left").groupBy("replicate").agg(
+        F.sum("weight").cast("long").alias("drawn"), F.bool_and(F.col("known").isNotNull()).alias("known")
     )
 
 
@@ -366,7 +366,7 @@ def draw_contract(spark, sf):
 def paired_contract(spark, sf):
     """The difference of a score and its reverse is twice the area less one."""
     rows = pred(spark, sf)
-    bounds, _ = B.empirical_interval(rows, _sliced_auroc, replicates=1000, seed=42, other=rows.withColumn("score", 1.0 - F.col("score")))
+    bounds, _ = B.empirical_interval(rows, B.AUROC, replicates=1000, seed=42, other=rows.withColumn("score", 1.0 - F.col("score")))
     return bounds.select("label", r6("value").alias("value"), F.col("value").between(F.col("low"), F.col("high")).alias("inside"))
 
 
@@ -375,7 +375,7 @@ def bootstrap_paired(spark, sf):
     """Interval of the difference of two scores on the same draws."""
     rows = pred(spark, sf)
     other = rows.withColumn("score", 1.0 - F.col("score"))
-    bounds, _ = B.empirical_interval(rows, _sliced_auroc, replicates=1000, seed=42, other=other)
+    bounds, _ = B.empirical_interval(rows, B.AUROC, replicates=1000, seed=42, other=other)
     return bounds.select("label", *[r6(c).alias(c) for c in ("value", "low", "high")], "nulls")
 
 
@@ -383,7 +383,7 @@ def bootstrap_paired(spark, sf):
 def bootstrap_mae(spark, sf):
     """Seeded interval of the pooled absolute error."""
     rows = pred(spark, sf)
-    bounds, _ = B.empirical_interval(rows, M.mae, by=(), replicates=1000, seed=1)
+    bounds, _ = B.empirical_interval(rows, B.MAE, by=(), replicates=1000, seed=1)
     return bounds.select(*[r6(c).alias(c) for c in ("value", "low", "high")], "nulls")
 
 
@@ -403,7 +403,7 @@ def bootstrap_poisson(spark, sf):
 def replicate_sink(spark, sf):
     """Replicate values appended to a log twice and counted."""
     path = scratch_path(spark, "replicates")
-    _, repeated = B.empirical_interval(pred(spark, sf), _sliced_auroc, replicates=1000, seed=3)
+    _, repeated = B.empirical_interval(pred(spark, sf), B.AUROC, replicates=1000, seed=3)
     sinks.append_replicates(sinks.replicate_rows(repeated, 1, "test", "noagg", 0), path)
     saved = spark.read.parquet(path)
     sinks.append_replicates(saved.withColumn("epoch", F.lit(2)), path)

@@ -189,6 +189,83 @@ def test_E15_weights_equal_materialised_draws(spark):
         assert value == pytest.approx(wins / total)
 
 
+@pytest.mark.parametrize("slices", [1, 7])
+def test_E15_areas_equal_brute_force_on_the_same_draws(spark, slices, monkeypatch):
+    """Ties, masked targets, pooled rows and stretches that cut groups, both areas, every replicate."""
+    monkeypatch.setattr(B, "STEP", 16)
+    frame = preds(spark, 90).withColumn("score", F.round("score", 1)).unionByName(
+        spark.createDataFrame([(7, "c", None, 0.5), (8, "d", 1, 0.5)], "sample_id int, label string, target int, score double")
+    )
+    spark.conf.set("spark.sql.shuffle.partitions", str(slices))
+    got = {(r["replicate"], r["label"]): (r["auroc"], r["aupr"]) for r in B.replicate_areas(frame, ["label"], 12, 9, precision=True).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    weights = {(r["replicate"], r["sample_id"]): r["weight"] for r in B.sample_weights(frame, 12, 9).collect()}
+    rows = frame.collect()
+    assert set(got) == {(i, x) for i in range(12) for x in "abcd"}
+    for (rep, label), (area, precision) in got.items():
+        cells = [(weights.get((rep, r["sample_id"]), 0.0), r["target"], r["score"]) for r in rows if r["label"] == label and r["target"] is not None]
+        pos, neg = (sum(w for w, t, _ in cells if t == k) for k in (1, 0))
+        wins = sum(w * v * (1.0 if s > z else 0.5 if s == z else 0.0) for w, t, s in cells if t == 1 for v, u, z in cells if u == 0)
+        assert area == (pytest.approx(wins / (pos * neg)) if pos * neg else None)
+        gain = 0.0
+        for w, t, s in cells:
+            if t == 1 and w:
+                tp, all_ = (sum(v for v, u, z in cells if z >= s and (u == 1 or every)) for every in (False, True))
+                gain += w * tp / all_
+        assert precision == (pytest.approx(gain / pos) if pos else None)
+
+
+def test_E15_means_equal_brute_force_on_the_same_draws(spark):
+    frame = preds(spark, 50)
+    got = {r["replicate"]: r["value"] for r in B.replicate_means(frame, F.abs(F.col("score") - F.col("target")), [], 6, 2).collect()}
+    weights = {(r["replicate"], r["sample_id"]): r["weight"] for r in B.sample_weights(frame, 6, 2).collect()}
+    cells = [(r["sample_id"], abs(r["score"] - r["target"])) for r in frame.collect() if r["target"] is not None]
+    for rep, value in got.items():
+        total = sum(weights.get((rep, i), 0.0) for i, _ in cells)
+        assert value == pytest.approx(sum(weights.get((rep, i), 0.0) * x for i, x in cells) / total)
+
+
+def test_O3_totals_are_exact_and_even_in_lanes_of_many_chunks():
+    sizes = [0, 5, 3000, 1, 0, 700]
+    split = B.Splitter(sizes, 200, 5)
+    parts = {lane: np.concatenate([split.weights(lane, c) for c in range(-(-n // B.CHUNK))]) for lane, n in enumerate(sizes) if n}
+    whole = np.concatenate(list(parts.values())).astype(int)
+    assert whole.shape == (sum(sizes), 200) and (whole.sum(axis=0) == sum(sizes)).all()
+    assert abs(whole.var() - 1.0) < 0.02 and abs((whole == 0).mean() - np.exp(-1)) < 0.005
+    per_lane = parts[2].astype(int).sum(axis=0)
+    assert abs(per_lane.mean() - 3000) < 15 and 15 < per_lane.std() < 40
+    again = B.Splitter(sizes, 200, 5)  # another task, another order
+    assert (again.weights(2, 1) == parts[2][B.CHUNK : 2 * B.CHUNK]).all() and (again.weights(1, 0) == parts[1]).all()
+
+
+def test_O3_draws_do_not_depend_on_partitions_or_id_type(spark):
+    ids = spark.range(300)
+    a = {(r[0], r[1]): r[2] for r in B.sample_weights(ids.repartition(7), 5, 3, "id").collect()}
+    b = {(r[0], r[1]): r[2] for r in B.sample_weights(ids.select(F.col("id").cast("int")), 5, 3, "id").collect()}
+    c = {(r[0], r[1]): r[2] for r in B.sample_weights(ids, 5, 4, "id").collect()}
+    assert a == b != c
+
+
+def test_E15_vector_metrics_equal_the_general_way(spark):
+    frame = preds(spark, 120)
+    for fast, slow in ((B.AUROC, M.auroc), (B.AVERAGE_PRECISION, M.average_precision), (B.MAE, M.mae)):
+        one, two = (B.empirical_interval(frame, m, replicates=8, seed=6) for m in (fast, slow))
+        for x, y in zip(*(f[0].orderBy("label").collect() for f in (one, two))):
+            assert tuple(x)[0] == tuple(y)[0] and tuple(x)[1:] == pytest.approx(tuple(y)[1:])
+
+
+def test_E16_vector_difference_shares_its_draws(spark):
+    frame = preds(spark, 80)
+    same = B.empirical_interval(frame, B.AUROC, replicates=5, seed=1, other=frame.where("sample_id >= 0"))[0].collect()
+    assert all(r["value"] == r["low"] == r["high"] == 0.0 for r in same)
+    turned = frame.withColumn("score", 1.0 - F.col("score"))
+    _, one = B.empirical_interval(frame, B.AUROC, replicates=5, seed=1)
+    _, two = B.empirical_interval(frame, B.AUROC, replicates=5, seed=1, other=turned)
+    one = {(r["replicate"], r["label"]): r["value"] for r in one.collect()}
+    for r in two.collect():
+        assert r["value"] == pytest.approx(2 * one[r["replicate"], r["label"]] - 1)
+
+
 def test_E15_seed_and_zero(spark):
     frame = preds(spark, 50)
     with pytest.raises(ValueError):
