@@ -447,6 +447,23 @@ def probe_contract(spark, sf):
     )
 
 
+@query("SELECT 'class_' || c AS label, true AS settled FROM (SELECT unnest(range(0, 10)) AS c)")
+def probe_solution_contract(spark, sf):
+    """M2: the gradient of every class's loss, summed over all training rows here, is near zero."""
+    vectors = table(spark, sf, "embeddings").where("vec_id % 5 <> 0")
+    targets = [f"class_{c}" for c in range(10)]
+    rows = vectors.withColumns({t: (F.col("label") == c).cast("int") for c, t in enumerate(targets)})
+    probe = S.fit_probe(rows, "embedding", targets, penalty=0.01)
+    long = rows.select("embedding", F.explode(F.array(*[F.struct(F.lit(t).alias("label"), F.col(t).alias("y")) for t in targets])).alias("t"))
+    weights = spark.createDataFrame([(t, [float(x) for x in w]) for t, w in zip(probe.labels, probe.weights)], "label string, w array<double>")
+    joined = long.select("embedding", "t.label", "t.y").join(F.broadcast(weights), "label")
+    inner = F.slice("w", 1, F.size("embedding"))
+    off = 1 / (1 + F.exp(-(S.dot(inner, F.col("embedding")) + F.element_at("w", -1)))) - F.col("y")
+    cells = joined.select("label", "w", off.alias("off"), F.posexplode("embedding").alias("i", "x"))
+    slopes = cells.groupBy("label", "i").agg(F.abs(F.avg(F.col("off") * F.col("x")) + 0.01 * F.first(F.get("w", F.col("i")))).alias("slope"), F.abs(F.avg("off")).alias("bias"))
+    return slopes.groupBy("label").agg((F.max(F.greatest("slope", "bias")) < 1e-5).alias("settled"))
+
+
 def _retrieved(spark, sf):
     from pulsegrid.scale import position
 

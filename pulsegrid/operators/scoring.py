@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pulsegrid.operators.aggregates import stitch_overlap
 from pulsegrid.scale import position, running_sum, seeded_hash
+from pulsegrid.session import cut
 
 Scorer = Callable[[np.ndarray], np.ndarray]
 CHUNK_SLICE = 4096
+LANES = 16
 
 
 def linear_scorer(width: int, outputs: int) -> Scorer:
@@ -47,39 +49,171 @@ def score_batches(df: DataFrame, scorer: Scorer, keep: Sequence[str], vector: st
     return df.select(*names, filled.alias(vector)).mapInPandas(run, f"{schema}, `{out}` array<double>")
 
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of a list column as a matrix; null cells are not a number."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
+
+
+class Descent:
+    """Quasi-Newton steps (limited memory) for many independent convex problems side by side.
+
+    Every problem keeps its own point, direction and step. It is told loss and
+    gradient at its trial point; a trial that lowers the loss enough becomes
+    its point, any other is tried again closer by.
+    """
+
+    MEMORY, ENOUGH = 10, 1e-4
+
+    def __init__(self, start: np.ndarray):
+        self.point, self.trial = start.copy(), start.copy()
+        self.loss = np.full(len(start), np.inf)
+        self.gradient, self.direction = np.zeros_like(start), np.zeros_like(start)
+        self.step = np.ones(len(start))
+        self.pairs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in start]
+
+    def tell(self, loss: np.ndarray, gradient: np.ndarray) -> None:
+        for k in range(len(loss)):
+            slope = float(self.gradient[k] @ self.direction[k])
+            if not loss[k] <= self.loss[k] + self.ENOUGH * self.step[k] * slope + 1e-15:
+                self.step[k] /= 2
+            else:
+                if np.isfinite(self.loss[k]):
+                    moved, turned = self.trial[k] - self.point[k], gradient[k] - self.gradient[k]
+                    if moved @ turned > 1e-14:
+                        self.pairs[k] = [*self.pairs[k][1 - self.MEMORY :], (moved, turned)]
+                first = not self.pairs[k]
+                self.point[k], self.loss[k], self.gradient[k] = self.trial[k], loss[k], gradient[k]
+                self.direction[k] = -self._scaled(k)
+                self.step[k] = min(1.0, 1.0 / max(np.abs(gradient[k]).sum(), 1e-12)) if first else 1.0
+            self.trial[k] = self.point[k] + self.step[k] * self.direction[k]
+
+    def _scaled(self, k: int) -> np.ndarray:
+        q, past = self.gradient[k].copy(), []
+        for moved, turned in reversed(self.pairs[k]):
+            part = (moved @ q) / (moved @ turned)
+            past.append(part)
+            q -= part * turned
+        if self.pairs[k]:
+            moved, turned = self.pairs[k][-1]
+            q *= (moved @ turned) / (turned @ turned)
+        for (moved, turned), part in zip(self.pairs[k], reversed(past)):
+            q += (part - (turned @ q) / (moved @ turned)) * moved
+        return q
+
+    def open(self, tolerance: float) -> bool:
+        """Is any gradient above the tolerance, where a step can still be seen?"""
+        worth = np.abs(self.gradient).max(axis=1) > tolerance
+        return bool((worth & (self.step > 1e-12)).any())
+
+
+@dataclass(frozen=True)
+class Probe:
+    """Weights of all classifiers, intercept last; ``slope`` is the largest part of each gradient."""
+
+    labels: tuple[str, ...]
+    weights: np.ndarray
+    slope: np.ndarray
+    passes: int
+
+
+def fit_probe(rows: DataFrame, vector: str, targets: Sequence[str], iterations: int = 100, penalty: float = 0.0, tolerance: float = 1e-6) -> Probe:
+    """M2: a logistic classifier per target column, all in one weight matrix.
+
+    Minimised per target: mean loss of its known rows plus ``penalty`` / 2
+    times the squared weights without the intercept. One pass over the rows
+    gives loss and gradient of all targets: a task multiplies its batches with
+    the broadcast weights, sums its rows into one matrix, and the matrices of
+    tasks are added in ``LANES`` lanes before they reach the driver. Passes
+    end when all gradients are below ``tolerance``, or after ``iterations``.
+    Targets with one class are left out. Rows with a null vector or one of another
+    width than the first are an error; null components count as zero.
+    """
+    spark = rows.sparkSession
+    body = F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    known = F.array(*[F.col(f"`{t}`").cast("double") for t in targets])
+    table = cut(rows.select(body.alias("x"), known.alias("y")))
+    first = table.select(F.size("x").alias("n")).first()
+    width, k = (first["n"] if first else 0), len(targets)
+    size = width + 1
+
+    def one_pass(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        shared = spark.sparkContext.broadcast(at)
+
+        def add(batches: Iterator[pa.RecordBatch]):
+            w, total = shared.value, np.zeros((k, size + 3))
+            for batch in batches:
+                for begin in range(0, batch.num_rows, 4096):
+                    part = batch.slice(begin, 4096)
+                    x = np.hstack([_matrix(part.column("x"), width), np.ones((part.num_rows, 1))])
+                    y = _matrix(part.column("y"), k)
+                    seen = ~np.isnan(y)
+                    y = np.where(seen, y, 0.0)
+                    z = x @ w.T
+                    total[:, :size] += (np.where(seen, 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700))) - y, 0.0)).T @ x
+                    total[:, size] += np.where(seen, np.logaddexp(0.0, z) - y * z, 0.0).sum(axis=0)
+                    total[:, size + 1] += seen.sum(axis=0)
+                    total[:, size + 2] += y.sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        def merge(batches: Iterator[pa.RecordBatch]):
+            total, found = np.zeros((k, size + 3)), False
+            for batch in batches:
+                for part in batch.column("sums").to_pylist():
+                    total, found = total + np.frombuffer(part).reshape(k, -1), True
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        lanes = table.mapInArrow(add, "sums binary").repartition(LANES).mapInArrow(merge, "sums binary")
+        total = sum((np.frombuffer(r["sums"]).reshape(k, -1) for r in lanes.collect()), np.zeros((k, size + 3)))
+        shared.destroy()
+        n = np.maximum(total[:, size + 1], 1.0)
+        ridge = np.hstack([at[:, :width], np.zeros((k, 1))])
+        loss = total[:, size] / n + penalty / 2 * (ridge**2).sum(axis=1)
+        return loss, total[:, :size] / n[:, None] + penalty * ridge, total[:, size + 1], total[:, size + 2]
+
+    search = Descent(np.zeros((k, size)))
+    passes, usable = 0, None
+    while passes < max(1, iterations):
+        loss, gradient, n, positives = one_pass(search.trial)
+        if usable is None:
+            usable = (positives > 0) & (positives < n)
+        gradient[~usable] = 0.0
+        search.tell(loss, gradient)
+        passes += 1
+        if not search.open(tolerance):
+            break
+    at = np.flatnonzero(usable)
+    if not len(at):
+        raise ValueError("no target has both classes in the training rows")
+    return Probe(tuple(targets[i] for i in at), search.point[at], np.abs(search.gradient[at]).max(axis=1), passes)
+
+
 def linear_probe(
-    df: DataFrame, vector: str, targets: Sequence[str], train: Column, key: str, parallelism: int = 4, iterations: int = 100, penalty: float = 0.0
+    df: DataFrame, vector: str, targets: Sequence[str], train: Column, key: str, iterations: int = 100, penalty: float = 0.0
 ) -> DataFrame:
     """M2: one binary classifier per target column, fit on training rows.
 
     Rows with a null target stay out of that fit. Returns long
-    ``(key, label, target, score)`` for the other rows. Fits run side by side
-    and share the cached features; a target with one class gets no scores.
+    ``(key, label, target, score)`` for the other rows, scored for all labels
+    in one pass; a target with one class gets no scores.
     """
-    rows = df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).withColumn("_train", train)
-    rows = rows.select(key, "features", "_train", *targets).cache()
-    spread = rows.where("_train").agg(*[F.count_distinct(t).alias(t) for t in targets]).first()
-    usable = [t for t in targets if spread[t] == 2]
-    held = rows.where("not _train")
-
-    def fit(target: str) -> DataFrame:
-        model = LogisticRegression(
-            labelCol="_y", maxIter=iterations, regParam=penalty, probabilityCol="_p", standardization=False
-        ).fit(rows.where(F.col("_train") & F.col(target).isNotNull()).withColumn("_y", F.col(target).cast("double")))
-        scored = model.transform(held.withColumn("_y", F.col(target).cast("double")))
-        return scored.select(
-            key, F.lit(target).alias("label"), F.col(target).cast("double").alias("target"),
-            vector_to_array("_p")[1].alias("score"),
-        )
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(fit, usable))
-    if not parts:
-        raise ValueError("no target has both classes in the training rows")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    probe = fit_probe(df.where(train), vector, targets, iterations, penalty)
+    shared = df.sparkSession.sparkContext.broadcast(probe)
+    body = F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    known = F.array(*[F.col(f"`{t}`").cast("double") for t in probe.labels])
+    held = df.where(~train).select(key, body.alias("_x"), known.alias("_y"))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        w = shared.value.weights
+        for batch in batches:
+            z = _matrix(batch.column("_x"), w.shape[1] - 1) @ w[:, :-1].T + w[:, -1]
+            scores = pa.array(list(1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("_y"), scores], names=[key, "_y", "_p"])
+
+    scored = held.mapInArrow(run, StructType([held.schema[key], *StructType.fromDDL("_y array<double>, _p array<double>")]))
+    names = F.array(*[F.lit(t) for t in probe.labels])
+    cells = scored.select(key, F.explode(F.arrays_zip(names.alias("label"), F.col("_y").alias("target"), F.col("_p").alias("score"))).alias("c"))
+    return cells.select(key, "c.label", "c.target", "c.score")
 
 
 def export_features(

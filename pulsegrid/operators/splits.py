@@ -25,7 +25,7 @@ UNLABELLED_FOLD = -1
 UNASSIGNED_FOLD = -2
 # -----------------------------------------------------------------------------
 HEAVY = 16
-HALVES = 6
+HALVES = 5
 SWEEPS = 20
 PARTNERS = 64
 CLOSE = 0.03
@@ -154,12 +154,12 @@ def stratify(counts: DataFrame, group: str, ratios: Sequence[float], seed: int,
         .agg(
             F.min_by(F.struct("label", "n"), F.struct("_total", "label")).alias("_pick"),
             F.bool_or(F.col("n") * (HEAVY * k) > F.col("_total")).alias("_heavy"),
+            F.collect_list(F.struct("label", "n")).alias("_held"),  # at most one cell per label
         )
-        .select(group, F.col("_pick.label").alias("_stratum"), (-F.col("_pick.n")).alias("_weight"), "_heavy", batch.alias("_batch"))
+        .select(group, F.col("_pick.label").alias("_stratum"), (-F.col("_pick.n")).alias("_weight"), "_heavy", "_held", batch.alias("_batch"))
     )
     per_group = cut(per_group)
-    one = per_group.select(F.col(group).alias("_g")).where("_heavy")
-    heavy = counts.join(F.broadcast(one), F.col(group).eqNullSafe(F.col("_g"))).select(group, "label", "n")
+    heavy = per_group.where("_heavy").select(group, F.explode("_held").alias("_c")).select(group, "_c.label", "_c.n")
     placed = place_heavy([tuple(r) for r in heavy.collect()], found, need, seed)
     kind = counts.schema[group].dataType
     fields = StructType([StructField(group, kind), StructField("subset", IntegerType())])
@@ -169,7 +169,7 @@ def stratify(counts: DataFrame, group: str, ratios: Sequence[float], seed: int,
     walked = cut(position(light, ["_batch", "_stratum"], ["_weight", "_hash", group], "_pos"))
     turn = unit_interval(seeded_hash(seed + 1, "_batch", "_stratum"))
     at = F.col("_pos") * F.lit(GOLDEN) + turn
-    walked = walked.select(group, "_stratum", "_batch", (-F.col("_weight")).alias("_weight"), (at - F.floor(at)).alias("_at"))
+    walked = walked.select(group, "_stratum", "_batch", "_held", (-F.col("_weight")).alias("_weight"), (at - F.floor(at)).alias("_at"))
     amounts = defaultdict(dict)
     for r in walked.groupBy("_batch", "_stratum").agg(F.sum("_weight").alias("n")).collect():
         amounts[r["_batch"]][r["_stratum"]] = r["n"]
@@ -182,12 +182,11 @@ def stratify(counts: DataFrame, group: str, ratios: Sequence[float], seed: int,
         table = F.broadcast(spark.createDataFrame(edges, edge_type))  # at most MAX_LABELS rows
         rows = walked.where(F.col("_batch") == b)
         subset = F.size(F.filter("_edges", lambda e: e <= F.col("_at")))
-        dealt = rows.join(table, F.col("_stratum").eqNullSafe(F.col("_label"))).select(group, subset.alias("subset"))
-        done.append(dealt)
+        dealt = rows.join(table, F.col("_stratum").eqNullSafe(F.col("_label"))).select(group, subset.alias("subset"), "_held")
+        done.append(dealt.drop("_held"))
         if b < max(amounts):
-            moved = dealt.withColumnRenamed(group, "_g")
-            taken = counts.join(moved, F.col(group).eqNullSafe(F.col("_g"))).groupBy("label", "subset").agg(F.sum("n").alias("n"))
-            for r in taken.collect():
+            cells = dealt.select("subset", F.explode("_held").alias("_c")).groupBy("_c.label", "subset").agg(F.sum("_c.n").alias("n"))
+            for r in cells.collect():
                 need[r["label"]][r["subset"]] -= r["n"]
     return reduce(DataFrame.union, done)
 

@@ -295,6 +295,38 @@ def test_M2_finds_a_separable_class(spark):
     assert out.where("id % 3 <> 0").count() == 0
 
 
+def test_M2_all_targets_settle_in_shared_passes(spark):
+    """The gradient of every target's own loss, masked rows left out, is near zero at its weights."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6)) * [1, 2, 5, 0.1, 1, 1] + 1
+    y = (rng.random((400, 5)) < 1 / (1 + np.exp(-x[:, :5]))).astype(float)
+    y[:, 3] = rng.random(400) < 0.02  # a rare class
+    y[::3, 1] = np.nan
+    y[:, 4] = 1.0  # one class only
+    rows = [(i, [float(v) for v in x[i]], *(None if np.isnan(v) else int(v) for v in y[i])) for i in range(400)]
+    names = [f"t.{i}" for i in range(5)]
+    df = spark.createDataFrame(rows, "id int, v array<double>, " + ", ".join(f"`{n}` int" for n in names)).repartition(5)
+    probe = S.fit_probe(df, "v", names, penalty=0.02)
+    assert probe.labels == tuple(names[:4]) and probe.passes < 80 and probe.slope.max() <= 1e-6
+    ones = np.hstack([x, np.ones((400, 1))])
+    for k, w in enumerate(probe.weights):
+        seen = ~np.isnan(y[:, k])
+        p = 1 / (1 + np.exp(-ones[seen] @ w))
+        slope = (p - y[seen, k]) @ ones[seen] / seen.sum() + 0.02 * np.append(w[:-1], 0)
+        assert np.abs(slope).max() < 1e-5
+    out = S.linear_probe(df, "v", names, F.col("id") % 4 != 0, "id", penalty=0.02)
+    held = out.where("label = 't.1'")
+    assert held.count() == 100 and held.where("target is null").count() == len([i for i in range(0, 400, 4) if i % 3 == 0])
+    with pytest.raises(ValueError):
+        S.fit_probe(df, "v", ["t.4"])
+
+
+def test_M2_separable_targets_end(spark):
+    df = spark.createDataFrame([(i, [float(i)], int(i > 5)) for i in range(12)], "id int, v array<double>, y int")
+    probe = S.fit_probe(df, "v", ["y"], iterations=40)
+    assert probe.passes <= 40 and np.isfinite(probe.weights).all()
+
+
 @pytest.mark.parametrize("same,interval", [(False, 0), (True, 0), (False, 2)])
 def test_M4_perfect_prediction(spark, same, interval):
     rows = []
