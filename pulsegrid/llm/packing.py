@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,9 +20,10 @@ from pulsegrid.session import cut
 
 CAPACITY = 4096
 END = 1
-CACHE, CORES, LONGEST = 200_000, 500_000, 64
+WORDS, CORES, LONGEST = 120_000, 300_000, 64
 SLICE_ROWS = 5_000
 _WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+_CONTROLS = re.compile("[\x1c-\x1f]")
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
 
@@ -38,57 +41,76 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Recent(dict):
+    """Values made on demand and kept while they are used.
+
+    Two generations of at most ``most`` entries: when the young one is full it
+    becomes the old one, and what is asked for again comes back from there.
+    Keys above ``LONGEST`` characters are not kept.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.pop(key, None)
+        if found is None:
+            found = self.make(key)
+            if len(key) > LONGEST:
+                return found
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordTokenizer:
     """Token ids of whole texts, remembered word by word.
 
     White space separates words before any merge in this vocabulary, so the
     ids of a text are those of its words in a row. A word of plain letters,
     with or without a closing mark, needs no more than lower case before the
-    merges; any other word goes through the whole tokenizer.
+    merges; any other word goes through the whole tokenizer. Ids are kept as
+    16-bit numbers.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("more than 65,536 ids")
         self.model = self.tokenizer.model
         self.alphabet = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.words = Recent(self._word, WORDS)
+        self.cores = Recent(self._core, CORES)
+        self.marks = {m: self._core(m) for m in ".,;:!?"}
 
     def _core(self, core: str) -> bytes:
-        found = self.cores.get(core)
-        if found is None:
-            if len(self.cores) > CORES:
-                self.cores.clear()
-            spelled = core.encode().decode("latin-1").translate(self.alphabet)
-            found = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
-            self.cores[core] = found
-        return found
+        spelled = core if core.isascii() else core.encode().decode("latin-1").translate(self.alphabet)
+        return array("H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        low, cores = word.lower(), self.cores
+        if low in cores:
+            return dict.__getitem__(cores, low)
+        mark = self.marks.get(low[-1])
+        if mark and low[:-1] in cores:
+            return dict.__getitem__(cores, low[:-1]) + mark
         simple = _SIMPLE.fullmatch(word)
         if simple is None:
-            return self._whole(word)
-        mark = simple[2]
-        return self._core(simple[1].lower()) + (self._core(mark) if mark else b"")
+            return array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        core = cores[simple[1].lower()]
+        return core + mark if simple[2] else core
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        words, out = self.words, []
-        for word in _WORDS.findall(text):
-            found = words.get(word)
-            if found is None:
-                found = self._word(word)
-                if len(word) <= LONGEST:
-                    if len(words) > CACHE:
-                        words.clear()
-                    words[word] = found
-            out.append(found)
-        return b"".join(out)
+        # Unlike the vocabulary's white space, that of split() has four control signs.
+        words = text.split() if _CONTROLS.search(text) is None else _WORDS.findall(text)
+        narrow = b"".join(map(self.words.__getitem__, words))
+        return np.frombuffer(narrow, dtype=np.uint16).astype("<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
