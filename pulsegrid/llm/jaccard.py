@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.graph import components
 from pulsegrid.llm.hashing import as_bytes, batches, shingle_sets
 from pulsegrid.llm.rows import add_columns
+from pulsegrid.llm.rows import neutral
 from pulsegrid.session import cut
 
 WIDTH = 5
@@ -282,6 +283,8 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     of rows that go are joined with the documents; they are broadcast if there
     are at most two million.
     """
+    docs, given = neutral(docs), docs.columns
+    docs, key, text = docs[0], docs[1][key], docs[1][text]
     rows, units = classes(docs, key, text, width, percent)
     placed = cut(rows.where("n > 0").join(units.select("unit", "root"), "unit").select("rid", "key", "root"))
     order = F.struct(F.col("key").isNull().alias("none"), "key", "rid")
@@ -298,4 +301,4 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
     single = tagged.join(small(gone.union(twice)), F.col("_rid") == F.col("_gone"), "left_anti")
     repeated = tagged.join(small(twice), F.col("_rid") == F.col("_gone"), "left_semi").dropDuplicates(["_rid"])
-    return single.union(repeated).drop("_rid")
+    return single.union(repeated).drop("_rid").toDF(*given)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.rows import neutral
+
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
 DIGITS = 3
@@ -96,6 +98,9 @@ def mixed_documents(
     the document at that end keeps its first words, joined by single spaces.
     A text without words costs nothing and is kept once.
     """
+    given = docs.columns
+    docs, names = neutral(docs)
+    key, text, source = names[key], names[text], names[source]
     plan = _plan(docs, key, text, source, seed, cap, carry=True)
     body = F.col("_row").getField(text)
     size, epochs, rest = F.col("_size"), F.col("_epochs"), F.col("_rest")
@@ -105,7 +110,7 @@ def mixed_documents(
         (rest > 0) & (rest < size), F.concat(F.array_repeat(body, full.cast("int")), F.array(cut))
     ).otherwise(F.array_repeat(body, full.cast("int")))
     rows = plan.select("_row", F.explode(texts).alias("_text"))
-    return rows.select(*[F.col("_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return rows.select(*[F.col("_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns]).toDF(*given)
 
 
 def mix_sql(seed: int = 7, cap: int = CAP) -> str:

@@ -13,6 +13,12 @@ from pyspark.sql.types import StructType
 STEP = 256
 
 
+def neutral(frame: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with columns named by their place, and the new name of each: no name of a caller meets one used inside."""
+    names = {c: f"in{i}" for i, c in enumerate(frame.columns)}
+    return frame.toDF(*names.values()), names
+
+
 def add_columns(
     rows: DataFrame, text: Column, keep: Mapping[str, Column], schema: str, work: Callable[[list], Mapping[str, list]]
 ) -> DataFrame:

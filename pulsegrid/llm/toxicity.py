@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.rows import add_columns
+from pulsegrid.llm.rows import add_columns, neutral
 
 CLASSES = 64
 SPAN = 1 << 19
@@ -343,6 +343,7 @@ def score_toxicity(
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """Documents that score below one half, with all their columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = {c: F.col(f"`{c}`") for c in docs.columns}
-    scored = add_columns(docs, F.col(text), kept, "_toxic double", lambda texts: {"_toxic": [shared.value.score(t) for t in texts]})
-    return scored.where(F.col("_toxic") < 0.5).drop("_toxic")
+    given, names = neutral(docs)
+    kept = {c: F.col(c) for c in given.columns}
+    scored = add_columns(given, F.col(names[text]), kept, "_toxic double", lambda texts: {"_toxic": [shared.value.score(t) for t in texts]})
+    return scored.where(F.col("_toxic") < 0.5).drop("_toxic").toDF(*docs.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.rows import neutral
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)"
 NEVER = 2_000_000_000
@@ -65,7 +67,9 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
     pages. A null URL or day, or a URL without host, is never listed; repeated
     captures are all returned; empty lists block nothing.
     """
-    own, when = "_url", "_day"
+    own, when, given = "_url", "_day", [c for c in captures.columns if c not in ("blocked", "lists")]
+    captures, names = neutral(captures.select(*[F.col(f"`{c}`") for c in given]))
+    url, day = names[url], names[day]
     seen = captures.select(F.col(url).alias(own), F.col(day).alias(when)).dropna().distinct()
     probes = seen.select(own, when, F.explode(keys_of(F.col(own))).alias("k")).select(own, when, "k.scope", "k.entry")
     spans = intervals(entries)
@@ -84,5 +88,5 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
         F.array_join(F.array_sort(F.collect_set("list")), ",").alias("_lists")
     )
     back = captures.join(hits, (captures[url] == hits[own]) & (captures[day] == hits[when]), "left")
-    kept = [captures[c] for c in captures.columns if c not in ("blocked", "lists")]
-    return back.select(*kept, F.col("_lists").isNotNull().alias("blocked"), F.coalesce("_lists", F.lit("")).alias("lists"))
+    verdict = [F.col("_lists").isNotNull().alias("blocked"), F.coalesce("_lists", F.lit("")).alias("lists")]
+    return back.select(*[captures[c] for c in captures.columns], *verdict).toDF(*given, "blocked", "lists")

@@ -244,13 +244,27 @@ def test_merged_fingerprints(spark):
 
 
 def plain_line(line):
-    return line.lower().strip(" ") if re.search(r"\w", line) else ""
+    return re.sub(r"[\W_]+", " ", re.sub(r"\d", "0", line.lower())).strip(" ")
 
 
 def alike(a, b):
-    if max(len(a), len(b)) > 128:
-        a, b = a.split(" "), b.split(" ")
-    return edits(a, b) <= max(len(a), len(b)) * 20 // 100
+    """Edit similarity of 0.8, given up as soon as no way through the band of allowed edits is left."""
+    most = max(len(a), len(b)) * 20 // 100
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = {j: j for j in range(most + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            ways = [row[j] + 1] if j in row else []
+            if j:
+                ways += [new[j - 1] + 1] if j - 1 in new else []
+                ways += [row[j - 1] + (x != b[j - 1])] if j - 1 in row else []
+            new[j] = min(ways)
+        row = new
+        if min(row.values()) > most:
+            return False
+    return row.get(len(b), most + 1) <= most
 
 
 def plain_simhash(norm):
@@ -300,11 +314,7 @@ def test_line_dedup_against_brute_force(spark):
     texts = line_corpus()
     frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, pos int").repartition(3)
     norms = {plain_line(x) for t in texts if t for x in t.split("\n")} - {""}
-    sims = {n: plain_simhash(n) for n in norms}
-    links = [
-        (a, b) for a, b in itertools.combinations(sorted(norms), 2)
-        if (sims[a] ^ sims[b]).bit_count() <= 3 and alike(a, b)
-    ]
+    links = [(a, b) for a, b in itertools.combinations(sorted(norms), 2) if alike(a, b)]
     assert links
     root = union_find(norms, links)
     seen, want = set(), {}
