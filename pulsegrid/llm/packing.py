@@ -20,7 +20,7 @@ from pulsegrid.session import cut
 
 CAPACITY = 4096
 END = 1
-WORDS, CORES, LONGEST = 120_000, 300_000, 64
+WORDS, CORES, LONGEST = 300_000, 500_000, 64
 SLICE_ROWS = 5_000
 _WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 _CONTROLS = re.compile("[\x1c-\x1f]")
