@@ -26,6 +26,12 @@ def query(sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     return add
 
 
+def hash_sql(seed: int, *columns: str) -> str:
+    """The number that ``seeded_hash`` draws, in SQL."""
+    parts = "".join(f" || '|' || coalesce(CAST({c} AS VARCHAR), '\\N')" for c in columns)
+    return f"CAST('0x' || substr(md5('{seed}'{parts}), 1, 15) AS BIGINT)"
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.catalog.base import CODES, LAB, LAB_LONG, PRED, codes, lab, pred, query, r6, table, text_list
+from pulsegrid.catalog.base import CODES, LAB, LAB_LONG, PRED, codes, hash_sql, lab, pred, query, r6, table, text_list
 from pulsegrid.functions import clean, labels as L
 from pulsegrid.operators import aggregates as A
 from pulsegrid.operators import codes as C
@@ -455,19 +455,32 @@ def label_efficiency(spark, sf):
     return K.label_efficiency(_patients(spark, sf), 0.25, "p_partkey", "patient", "labels", "sex", "age", 42).select("p_partkey", "patient", "split")
 
 
-@query()
+@query(
+    f"""SELECT p_partkey // 3 AS patient, p_partkey FROM part
+QUALIFY row_number() OVER (PARTITION BY p_partkey // 3 ORDER BY {hash_sql(42, "p_partkey")}, p_partkey) = 1"""
+)
 def first_per_patient(spark, sf):
     """One record per patient in a seeded order."""
     return R.first_per_patient(_patients(spark, sf), "patient", "p_partkey", 42).select("patient", "p_partkey")
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT DISTINCT o_custkey FROM orders),
+r AS (SELECT o_custkey, row_number() OVER (ORDER BY {hash_sql(42, "o_custkey")}, o_custkey) - 1 AS r, count(*) OVER () AS n FROM c)
+SELECT o_orderkey, o_custkey, CAST(r * 5 // n AS INTEGER) AS strat_fold FROM orders JOIN r USING (o_custkey)"""
+)
 def patient_kfold(spark, sf):
     """K6: five near-equal random groups of customers."""
     return K.patient_kfold(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 5, 42)
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT o_orderkey, CASE WHEN o_custkey % 8 = 0 THEN o_custkey ELSE -o_orderkey END AS patient FROM orders),
+m AS (SELECT *, count(*) OVER (PARTITION BY patient) > 1 AS multi FROM p),
+f AS (SELECT greatest(CAST(floor(count(*) * 0.2::DOUBLE) AS BIGINT) - count(*) FILTER (multi), 0) AS fill FROM m),
+x AS (SELECT *, row_number() OVER (PARTITION BY multi ORDER BY {hash_sql(73, "o_orderkey")}, o_orderkey) AS r FROM m)
+SELECT o_orderkey, patient, CAST(multi OR r <= fill AS INTEGER) AS orig_fold FROM x, f"""
+)
 def holdout_repeats(spark, sf):
     """K9: repeated customers to test, filled to a share of all orders."""
     rows = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 8 == 0, F.col("o_custkey")).otherwise(-F.col("o_orderkey")).alias("patient"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.catalog.base import LENGTHS, SIG, query, r6, sig, sig_lengths, table
+from pulsegrid.catalog.base import LENGTHS, SIG, hash_sql, query, r6, sig, sig_lengths, table
 from pulsegrid.operators import aggregates as A
 from pulsegrid.operators import chunks as C
 from pulsegrid.operators import reshape as R
@@ -109,7 +109,13 @@ def fixed_crop(spark, sf):
     return out.select("record_id", "start_idx", "rel", "value")
 
 
-@query()
+@query(
+    "WITH " + _CHUNKS.format(step=16, size=16, least=9)
+    + f""", d AS (SELECT *, end_idx - start_idx - 9 AS room, {hash_sql(42, "record_id", "start_idx", "item")} AS h
+    FROM chunks, (SELECT unnest([0, 1]) AS item)),
+s AS (SELECT record_id, chunk, item, CAST(start_idx + CASE WHEN room <= 0 THEN 0 ELSE h % room END AS BIGINT) AS start_idx FROM d)
+SELECT record_id, chunk, CAST(item AS INTEGER) AS item, start_idx, start_idx + 9 AS end_idx FROM s"""
+)
 def random_crop(spark, sf):
     """T5: two seeded crops per chunk."""
     chunks = C.chunk_index(sig_lengths(spark, sf), chunk_length=16, min_chunk_length=9).drop("data_length")
@@ -440,7 +446,14 @@ def spectrogram(spark, sf):
     return out.select("record_id", "frame", F.posexplode("power").alias("bin", "power")).withColumn("power", r6("power", 4))
 
 
-@query()
+def _unit_sql(seed):
+    return f"({hash_sql(seed, 'record_id', 't')} % 4503599627370496) / 4503599627370496.0::DOUBLE"
+
+
+@query(
+    "WITH " + SIG + f""" SELECT record_id, t, value,
+  round(value + 0.1::DOUBLE * sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {_unit_sql(7)})) * cos(2 * pi() * {_unit_sql(8)}), 6) + 0.0 AS noisy FROM sig"""
+)
 def noise(spark, sf):
     """Seeded Gaussian noise."""
     out = sig(spark, sf).withColumn("noisy", G.gaussian_noise("value", 0.1, 7, ["record_id", "t"]))

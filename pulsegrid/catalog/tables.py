@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.catalog.base import meas, pred, query, r6, table, text_list
+from pulsegrid.catalog.base import hash_sql, meas, pred, query, r6, table, text_list
 from pulsegrid.functions import clean, labels as L
 from pulsegrid.operators import aggregates as A
 from pulsegrid.operators import joins as J
@@ -742,7 +742,7 @@ def sample_contract(spark, sf):
     )
 
 
-@query()
+@query(f"SELECT o_orderkey, o_custkey FROM orders ORDER BY {hash_sql(73, 'o_orderkey')}, o_orderkey LIMIT 500")
 def hash_sample(spark, sf):
     """O2: exactly 500 orders without replacement."""
     return R.sample_exact(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), 500, "o_orderkey", 73)

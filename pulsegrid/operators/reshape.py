@@ -99,7 +99,7 @@ def sample_exact(df: DataFrame, n: int, record: str, seed: int) -> DataFrame:
     """
     if n <= 0:
         return df.limit(0)
-    hashed = df.withColumn("_h", seeded_hash(seed, record)).withColumn("_p", F.shiftright("_h", 48))
+    hashed = df.withColumn("_h", seeded_hash(seed, record)).withColumn("_p", F.shiftright("_h", 44))
     sizes = hashed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     cut_row = (

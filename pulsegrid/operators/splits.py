@@ -25,9 +25,10 @@ UNLABELLED_FOLD = -1
 UNASSIGNED_FOLD = -2
 # -----------------------------------------------------------------------------
 HEAVY = 16
-HALVES = 5
+HALVES = 3
+RESERVE = 4_000
 SWEEPS = 20
-PARTNERS = 64
+PARTNERS = 16
 CLOSE = 0.03
 MAX_LABELS = 100_000
 
@@ -127,9 +128,11 @@ def stratify(counts: DataFrame, group: str, ratios: Sequence[float], seed: int,
     label's remaining need becomes proportional again; it is walked by falling
     weight on a golden-ratio sequence, in slices, so every prefix is dealt
     alike. What a batch placed of all labels is taken off the needs before
-    the next, so totals are carried from batch to batch and the last, small
-    batches settle what secondary labels have moved. ``buckets`` is the number
-    of equal batches; the last one is halved ``HALVES`` times.
+    the next, so totals are carried from batch to batch and the smaller ones
+    settle what secondary labels have moved. ``buckets`` is the number of
+    equal batches; the last one is halved ``HALVES`` times. A reserve of about
+    ``RESERVE`` groups, drawn by a hash, is kept back and placed one by one at the
+    end like heavy groups, which settles what is left.
 
     More than ``MAX_LABELS`` labels are an error. Groups without labels are
     not in ``counts``; a null group is placed like any other.
@@ -166,6 +169,9 @@ def stratify(counts: DataFrame, group: str, ratios: Sequence[float], seed: int,
     done = [spark.createDataFrame(list(placed.items()), fields)]
 
     light = per_group.where("not _heavy").withColumn("_hash", seeded_hash(seed, group))
+    kept_back = unit_interval(seeded_hash(seed + 9, group)) < min(1.0, RESERVE / max(light.count(), 1))
+    reserve = light.where(kept_back).select(group, F.explode("_held").alias("_c")).select(group, "_c.label", "_c.n")
+    light = light.where(~kept_back)
     walked = cut(position(light, ["_batch", "_stratum"], ["_weight", "_hash", group], "_pos"))
     turn = unit_interval(seeded_hash(seed + 1, "_batch", "_stratum"))
     at = F.col("_pos") * F.lit(GOLDEN) + turn
@@ -175,7 +181,7 @@ def stratify(counts: DataFrame, group: str, ratios: Sequence[float], seed: int,
         amounts[r["_batch"]][r["_stratum"]] = r["n"]
     label_type = counts.schema["label"].dataType
     edge_type = StructType([StructField("_label", label_type), StructField("_edges", ArrayType(DoubleType()))])
-    for b in sorted(amounts):
+    for b in sorted(amounts):  # none if all light groups are in the reserve
         edges = [
             (label, [float(x) for x in np.cumsum(water_fill(need[label], shares, n))[:-1]]) for label, n in amounts[b].items()
         ]
@@ -184,10 +190,11 @@ def stratify(counts: DataFrame, group: str, ratios: Sequence[float], seed: int,
         subset = F.size(F.filter("_edges", lambda e: e <= F.col("_at")))
         dealt = rows.join(table, F.col("_stratum").eqNullSafe(F.col("_label"))).select(group, subset.alias("subset"), "_held")
         done.append(dealt.drop("_held"))
-        if b < max(amounts):
-            cells = dealt.select("subset", F.explode("_held").alias("_c")).groupBy("_c.label", "subset").agg(F.sum("_c.n").alias("n"))
-            for r in cells.collect():
-                need[r["label"]][r["subset"]] -= r["n"]
+        cells = dealt.select("subset", F.explode("_held").alias("_c")).groupBy("_c.label", "subset").agg(F.sum("_c.n").alias("n"))
+        for r in cells.collect():
+            need[r["label"]][r["subset"]] -= r["n"]
+    last = place_heavy([tuple(r) for r in reserve.collect()], found, need, seed + 1)
+    done.append(spark.createDataFrame(list(last.items()), fields))
     return reduce(DataFrame.union, done)
 
 

@@ -182,10 +182,19 @@ def exact_quantiles(
 
 
 def seeded_hash(seed: int, *cols: str | Column) -> Column:
-    """64-bit hash of the columns under a seed; a stable random order."""
+    """60-bit number, never negative, of the columns as text under a seed; a stable random order.
+
+    It is the head of an MD5 digest, so any other engine can draw the same.
+    """
+    parts = [F.coalesce(_col(c).cast("string"), F.lit("\\N")) for c in cols]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(int(seed))), *parts)), 1, 15), 16, 10).cast("bigint")
+
+
+def fast_hash(seed: int, *cols: str | Column) -> Column:
+    """64-bit hash for draws in bulk, where only their distribution counts."""
     return F.xxhash64(*[_col(c) for c in cols], F.lit(int(seed)).cast("long"))
 
 
 def unit_interval(hashed: Column) -> Column:
-    """Map a 64-bit hash to [0, 1)."""
+    """Map a hash to [0, 1) by its last 52 bits."""
     return F.pmod(hashed, F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
