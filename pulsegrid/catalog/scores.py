@@ -172,6 +172,34 @@ def sens_spec_mcc(spark, sf):
     return out.select("label", *[r6(c).alias(c) for c in ("threshold", "sensitivity", "specificity", "mcc", "youden")])
 
 
+@query(
+    "WITH " + KNOWN + ", c AS (SELECT label, avg(CAST(score > 0.5 AS DOUBLE)) FILTER (target = 1) AS sens, avg(CAST(score <= 0.5 AS DOUBLE)) FILTER (target = 0) AS spec FROM known GROUP BY label)"
+    " SELECT label, round(sens + spec - 1, 6) + 0.0 AS youden, round(avg(sens + spec - 1) OVER (), 6) + 0.0 AS macro FROM c"
+)
+def youden_macro(spark, sf):
+    """Youden index per label and its mean over labels."""
+    out = M.METRICS["youden"].fn(pred(spark, sf))
+    return out.select("label", r6("value").alias("youden"), r6(M.macro(out, undefined=None).scalar()).alias("macro"))
+
+
+@query()
+def youden_intervals(spark, sf):
+    """Seeded interval of the Youden index at one half."""
+    bounds, _ = B.empirical_interval(pred(spark, sf), M.METRICS["youden"].fn, replicates=200, seed=5)
+    return bounds.select("label", *[r6(c).alias(c) for c in ("value", "low", "high")], "nulls")
+
+
+@query(
+    "WITH " + KNOWN + _CURVE + """, e AS (SELECT label, fp / nn AS fpr, tp / pp AS tpr, tp / (tp + fp) AS precision FROM cum
+  UNION ALL SELECT DISTINCT label, 0.0, 0.0, 1.0 FROM cum)
+SELECT label, round(fpr, 6) + 0.0 AS fpr, round(tpr, 6) + 0.0 AS tpr, round(precision, 6) + 0.0 AS precision FROM e"""
+)
+def curve_ends(spark, sf):
+    """E5: curve points with the ends where nothing is found."""
+    out = M.curve_points(pred(spark, sf), ends=True)
+    return out.select("label", *[r6(c).alias(c) for c in ("fpr", "tpr", "precision")])
+
+
 _SENS = (
     ", g AS (SELECT DISTINCT label, score AS t FROM known), m AS (SELECT g.label, g.t, count(*) FILTER (k.target = 1 AND k.score > g.t) / count(*) FILTER (k.target = 1) AS sens,"
     " count(*) FILTER (k.target = 0 AND k.score <= g.t) / count(*) FILTER (k.target = 0) AS spec FROM g JOIN known k USING (label) GROUP BY 1, 2)"
@@ -190,11 +218,8 @@ def threshold_search(spark, sf):
         "sens_above": (0.9, "sensitivity", True), "spec_above": (0.8, "specificity", True),
         "sens_below": (0.5, "sensitivity", False), "spec_below": (0.3, "specificity", False), "never": (1.5, "sensitivity", True),
     }
-    out = None
-    for name, (goal, metric, above) in goals.items():
-        found = M.threshold_search(rows, goal, metric, above).select("label", r6("threshold").alias(name))
-        out = found if out is None else out.join(found, "label")
-    return out
+    out = M.threshold_searches(rows, goals)
+    return out.select("label", *[r6(name).alias(name) for name in goals])
 
 
 @query(

@@ -84,18 +84,29 @@ def macro(per_label: DataFrame, by: Sequence[str] = (), undefined: float | None
     return per_label.groupBy(*by).agg(F.avg(value).alias("value"))
 
 
-def curve_points(pred: DataFrame, by: Sequence[str] = LABEL) -> DataFrame:
-    """E5: ROC and precision-recall points, one per threshold ``score >= t``."""
+def curve_points(pred: DataFrame, by: Sequence[str] = LABEL, ends: bool = False) -> DataFrame:
+    """E5: ROC and precision-recall points, one per threshold ``score >= t``.
+
+    With ``ends`` both curves begin where nothing is found: rates of zero at
+    an infinite threshold, with precision one.
+    """
     counts = score_counts(pred, by)
     points = running_sum(
         counts, by, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, inclusive=True, totals=True
     ).withColumnsRenamed({"tp_total": "p", "fp_total": "n"})
-    return points.where(F.col("score").isNotNull()).select(
+    points = points.where(F.col("score").isNotNull())
+    if ends:
+        begin = points.groupBy(*by).agg(F.max("p").alias("p"), F.max("n").alias("n"))
+        infinite = F.lit(float("inf"))
+        begin = begin.select(*by, infinite.alias("score"), F.lit(0.0).alias("tp"), F.lit(0.0).alias("fp"), "p", "n")
+        points = points.select(*by, "score", "tp", "fp", "p", "n").union(begin)
+    precision = _ratio(F.col("tp"), F.col("tp") + F.col("fp"))
+    return points.select(
         *by,
         F.col("score").alias("threshold"),
         _ratio(F.col("fp"), F.col("n")).alias("fpr"),
         _ratio(F.col("tp"), F.col("p")).alias("tpr"),
-        _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+        (F.when(F.col("score") == float("inf"), 1.0).otherwise(precision) if ends else precision).alias("precision"),
         _ratio(F.col("tp"), F.col("p")).alias("recall"),
     )
 
@@ -202,29 +213,34 @@ def argmax_classes(pred: DataFrame, sample: str = "sample_id", index: str = "lab
     return pred.groupBy(sample).agg((-top("target")).alias("true_class"), (-top("score")).alias("pred_class"))
 
 
-def fbeta(classes: DataFrame, beta: float = 1.0) -> DataFrame:
-    """F-beta per class that occurs as truth or prediction."""
+def fbeta(classes: DataFrame, beta: float = 1.0, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """F-beta per class that occurs as truth or prediction, per group of ``by``."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     hit = F.col("true_class") == F.col("pred_class")
+    none = F.lit(0.0)
     roles = F.array(
-        F.struct(F.col("true_class").alias("label"), hit.cast("long").alias("tp"), (~hit).cast("long").alias("fn"), F.lit(0).cast("long").alias("fp")),
-        F.struct(F.col("pred_class").alias("label"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fn"), (~hit).cast("long").alias("fp")),
+        F.struct(F.col("true_class").alias("label"), F.when(hit, w).otherwise(none).alias("tp"), F.when(hit, none).otherwise(w).alias("fn"), none.alias("fp")),
+        F.struct(F.col("pred_class").alias("label"), none.alias("tp"), none.alias("fn"), F.when(hit, none).otherwise(w).alias("fp")),
     )
-    sums = classes.select(F.explode(roles).alias("r")).groupBy("r.label").agg(
+    sums = classes.select(*by, F.explode(roles).alias("r")).groupBy(*by, "r.label").agg(
         F.sum("r.tp").alias("tp"), F.sum("r.fn").alias("fn"), F.sum("r.fp").alias("fp")
     )
     b2 = beta * beta
     top = (1 + b2) * F.col("tp")
     bottom = top + b2 * F.col("fn") + F.col("fp")
-    return sums.select("label", F.coalesce(_ratio(top, bottom), F.lit(0.0)).alias("value"))
+    return sums.select(*by, "label", F.coalesce(_ratio(top, bottom), F.lit(0.0)).alias("value"))
 
 
-def accuracy(classes: DataFrame) -> DataFrame:
+def accuracy(classes: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Share of samples whose classes agree."""
-    return classes.agg(F.avg((F.col("true_class") == F.col("pred_class")).cast("double")).alias("value"))
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    known = F.col("true_class").isNotNull() & F.col("pred_class").isNotNull()
+    hit = F.sum(F.when(known & (F.col("true_class") == F.col("pred_class")), w).otherwise(0.0))
+    return classes.groupBy(*by).agg(_ratio(hit, F.sum(F.when(known, w).otherwise(0.0))).alias("value"))
 
 
 def threshold_metrics(
-    pred: DataFrame, threshold: float | Mapping[str, float] | DataFrame, by: Sequence[str] = LABEL
+    pred: DataFrame, threshold: float | Mapping[str, float] | DataFrame, by: Sequence[str] = LABEL, weight: str | None = None
 ) -> DataFrame:
     """Sensitivity, specificity, MCC and Youden for ``score > threshold``.
 
@@ -241,11 +257,13 @@ def threshold_metrics(
         rows = pred.withColumn("threshold", F.lit(float(threshold)))
     rows = rows.where(_known("target"))
     yes, above = F.col("target") == 1, F.col("score") > F.col("threshold")
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+
+    def total(which: Column) -> Column:
+        return F.sum(F.when(which, w).otherwise(0.0))
+
     sums = rows.groupBy(*by, "threshold").agg(
-        F.count_if(yes & above).cast("double").alias("tp"),
-        F.count_if(yes & ~above).cast("double").alias("fn"),
-        F.count_if(~yes & above).cast("double").alias("fp"),
-        F.count_if(~yes & ~above).cast("double").alias("tn"),
+        total(yes & above).alias("tp"), total(yes & ~above).alias("fn"), total(~yes & above).alias("fp"), total(~yes & ~above).alias("tn")
     )
     tp, fn, fp, tn = (F.col(c) for c in ("tp", "fn", "fp", "tn"))
     zero = F.lit(0.0)
@@ -259,34 +277,52 @@ def threshold_metrics(
     )
 
 
-def threshold_search(
-    pred: DataFrame, goal: float, metric: str = "sensitivity", greater_than: bool = True, by: Sequence[str] = LABEL
+def at_threshold(metric: str, threshold: float | Mapping[str, float] = 0.5) -> Callable[..., DataFrame]:
+    """E11 as a single-value metric for reports and the bootstrap."""
+
+    def value(pred: DataFrame, by: Sequence[str] = LABEL, weight: str | None = None) -> DataFrame:
+        return threshold_metrics(pred, threshold, by, weight).select(*by, F.col(metric).alias("value"))
+
+    return value
+
+
+def threshold_searches(
+    pred: DataFrame, goals: Mapping[str, tuple[float, str, bool]], by: Sequence[str] = LABEL
 ) -> DataFrame:
-    """The first distinct score, from the side where the metric fails last,
-    at which ``score > t`` meets the goal; -1 when none does.
+    """A column per goal (value, metric, greater than) with its threshold, all from one walk over the scores.
+
+    The threshold is the first distinct score, from the side where the metric
+    fails last, at which ``score > t`` meets the goal; -1 when none does.
     """
     counts = score_counts(pred, by)
     rows = running_sum(
         counts, by, ["score"], {"pos_le": F.col("pos"), "neg_le": F.col("neg")}, inclusive=True, totals=True
     ).withColumnsRenamed({"pos_le_total": "p", "neg_le_total": "n"})
-    if metric == "sensitivity":
-        value = _ratio(F.col("p") - F.col("pos_le"), F.col("p"))
-    elif metric == "specificity":
-        value = _ratio(F.col("neg_le"), F.col("n"))
-    else:
-        raise ValueError(f"unknown metric {metric!r}")
-    rows = rows.withColumn("m", F.coalesce(value, F.lit(0.0)))
-    met = F.col("m") > goal if greater_than else F.col("m") < goal
-    ends = rows.groupBy(*by).agg(
-        F.min_by("m", "score").alias("at_low"),
-        F.max_by("m", "score").alias("at_high"),
-        F.min(F.when(met, F.col("score"))).alias("lowest"),
-        F.max(F.when(met, F.col("score"))).alias("highest"),
-    )
-    falling = F.col("at_low") > F.col("at_high")
-    from_top = falling if greater_than else ~falling
-    found = F.when(from_top, F.col("highest")).otherwise(F.col("lowest"))
-    return ends.select(*by, F.coalesce(found, F.lit(-1.0)).alias("threshold"))
+    kinds = {
+        "sensitivity": _ratio(F.col("p") - F.col("pos_le"), F.col("p")),
+        "specificity": _ratio(F.col("neg_le"), F.col("n")),
+    }
+    for _, metric, _ in goals.values():
+        if metric not in kinds:
+            raise ValueError(f"unknown metric {metric!r}")
+    rows = rows.withColumns({f"_{k}": F.coalesce(v, F.lit(0.0)) for k, v in kinds.items()})
+    aggs, chosen = [], []
+    for k in kinds:
+        aggs += [F.min_by(f"_{k}", "score").alias(f"_low_{k}"), F.max_by(f"_{k}", "score").alias(f"_high_{k}")]
+    for i, (name, (goal, metric, greater)) in enumerate(goals.items()):
+        met = F.col(f"_{metric}") > goal if greater else F.col(f"_{metric}") < goal
+        aggs += [F.min(F.when(met, F.col("score"))).alias(f"_least_{i}"), F.max(F.when(met, F.col("score"))).alias(f"_most_{i}")]
+        falling = F.col(f"_low_{metric}") > F.col(f"_high_{metric}")
+        found = F.when(falling if greater else ~falling, F.col(f"_most_{i}")).otherwise(F.col(f"_least_{i}"))
+        chosen.append(F.coalesce(found, F.lit(-1.0)).alias(name))
+    return rows.groupBy(*by).agg(*aggs).select(*by, *chosen)
+
+
+def threshold_search(
+    pred: DataFrame, goal: float, metric: str = "sensitivity", greater_than: bool = True, by: Sequence[str] = LABEL
+) -> DataFrame:
+    """One goal, as the column ``threshold``."""
+    return threshold_searches(pred, {"threshold": (goal, metric, greater_than)}, by)
 
 
 def sample_centric(pred: DataFrame, thresholds: Sequence[float], sample: str = "sample_id") -> DataFrame:
@@ -440,6 +476,7 @@ METRICS = {
     "auroc": Metric("auroc", auroc),
     "aupr": Metric("aupr", average_precision),
     "mae": Metric("mae", mae, "min", "sum"),
+    **{name: Metric(name, at_threshold(name)) for name in ("sensitivity", "specificity", "mcc", "youden")},
 }
 
 # --- fixed values -----------------------------------------------------------

@@ -29,14 +29,15 @@ def remap_union(frames: Sequence[DataFrame], key: str, order: str | None = None)
 
     As in the source data model the shift is the number of *rows* (samples) of
     the earlier datasets, while ids are dense inside each one, by the
-    smallest ``order`` of an id (the id itself without one).
+    smallest ``order`` of an id (the id itself without one). A null id is an id.
     """
     parts = []
     shift = F.lit(0).cast("long")
     for frame in frames:
         first = frame.groupBy(key).agg(F.min(order or key).alias("_order"))
-        dense = position(first, [], ["_order", key], "_dense").drop("_order")
-        parts.append(frame.join(dense, key).withColumn("record_id", F.col("_dense") + shift).drop("_dense"))
+        dense = position(first, [], ["_order", key], "_dense").select(F.col(key).alias("_key"), "_dense")
+        joined = frame.join(dense, F.col(key).eqNullSafe(F.col("_key")))
+        parts.append(joined.withColumn("record_id", F.col("_dense") + shift).drop("_dense", "_key"))
         shift = shift + frame.agg(F.count(F.lit(1))).scalar()
     return align_union(*parts)
 
