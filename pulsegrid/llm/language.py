@@ -30,45 +30,51 @@ def _folding() -> np.ndarray:
     return table
 
 
-def _letters(text: str) -> np.ndarray:
-    codes = _folding()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    space = codes == 32
-    keep = ~space
-    keep[1:] |= ~space[:-1]
-    return codes[keep]
-
-
-def _buckets(codes: np.ndarray, bits: int) -> np.ndarray:
-    """Bucket of every n-gram of all orders; the text is framed by spaces."""
-    framed = np.concatenate(([32], codes, [32])).astype(np.uint64)
+def _buckets(before: np.ndarray, codes: np.ndarray, bits: int) -> np.ndarray:
+    """Bucket of every n-gram of all orders that ends within ``codes``; ``before`` are the letters ahead of them."""
+    stream = np.concatenate((before, codes)).astype(np.uint64)
     parts = []
-    value = np.zeros(len(framed), dtype=np.uint64)
+    value = np.zeros(len(stream), dtype=np.uint64)
     for order in range(1, max(ORDERS) + 1):
-        size = len(framed) - order + 1
+        size = len(stream) - order + 1
         if size <= 0:
             break
-        value = value[:size] * np.uint64(0x100000001B3) + framed[order - 1 :] + np.uint64(1)
+        value = value[:size] * np.uint64(0x100000001B3) + stream[order - 1 :] + np.uint64(1)
         if order in ORDERS:
-            mixed = (value ^ np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
+            new = value[max(0, len(before) - order + 1) :]
+            mixed = (new ^ np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
             parts.append((mixed >> np.uint64(64 - bits)).astype(np.int64))
     return np.concatenate(parts)
 
 
-def _spans(text: str):
-    """A long text in spans that overlap by the letters an n-gram needs."""
-    step = SPAN - max(ORDERS)
-    for at in range(0, max(1, len(text) - max(ORDERS)), step):
-        yield text[at : at + SPAN]
-
-
 def _rows_of(text: str | None, bits: int):
-    """Buckets of a whole text, span by span; nothing if it holds no letter."""
+    """Buckets of a whole text, some letters at a time; nothing if it holds no letter.
+
+    The text is framed by one space at either end, and runs of other signs
+    are one space. The last letters of a span go before the next, so every
+    n-gram is met once, wherever the spans end.
+    """
     if not isinstance(text, str):
         return
-    for span in _spans(text):
-        codes = _letters(span)
-        if len(codes) and (codes != 32).any():
-            yield _buckets(codes, bits)
+    frame = np.array([32], dtype=np.uint32)
+    before, spaced = None, True
+    for at in range(0, len(text), SPAN):
+        codes = _folding()[np.frombuffer(text[at : at + SPAN].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        space = codes == 32
+        keep = ~space
+        keep[1:] |= ~space[:-1]
+        keep[0] |= not spaced
+        spaced = bool(space[-1])
+        codes = codes[keep]
+        if before is None:
+            if not len(codes):
+                continue
+            before, codes = frame[:0], np.concatenate((frame, codes))
+        if len(codes):
+            yield _buckets(before, codes, bits)
+            before = np.concatenate((before, codes))[1 - max(ORDERS) :]
+    if before is not None:
+        yield _buckets(before, frame, bits)
 
 
 @dataclass(frozen=True)
