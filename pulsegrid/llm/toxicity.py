@@ -12,6 +12,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -56,12 +57,25 @@ def _class(char: str) -> int:
     return int(_classes()[ord(char)])
 
 
-def _trigrams(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    kinds = _classes()[codes]
-    keep = kinds > 0
-    keep[1:] |= kinds[:-1] > 0
-    kinds = np.concatenate(([0, 0], kinds[keep], [0]))
+def _trigrams(text: str) -> Iterator[np.ndarray]:
+    """Cells of all letter trigrams of a whole text, some at a time; the last two letters go before the next span."""
+    if not text:
+        return
+    before, letter = np.zeros(2, dtype=np.int32), False
+    for at in range(0, len(text), SPAN):
+        codes = np.frombuffer(text[at : at + SPAN].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kinds = _classes()[codes]
+        keep = kinds > 0
+        keep[1:] |= kinds[:-1] > 0
+        keep[0] |= letter
+        letter = bool(kinds[-1] > 0)
+        stream = np.concatenate((before, kinds[keep]))
+        yield _cells(stream)
+        before = stream[-2:]
+    yield _cells(np.append(before, np.int32(0)))
+
+
+def _cells(kinds: np.ndarray) -> np.ndarray:
     return (kinds[:-2] * CLASSES + kinds[1:-1]) * CLASSES + kinds[2:]
 
 
@@ -73,12 +87,19 @@ def fit_characters(docs: DataFrame, text: str = "text") -> np.ndarray:
     """
 
     def count(frames):
-        cells = np.zeros(CLASSES**3, dtype=np.int64)
+        cells, held, size = np.zeros(CLASSES**3, dtype=np.int64), [], 0
         for frame in frames:
             for body in frame["text"]:
                 if isinstance(body, str):
-                    for at in range(0, len(body), SPAN):
-                        cells += np.bincount(_trigrams(body[at : at + SPAN]), minlength=CLASSES**3)
+                    for found in _trigrams(body):
+                        if len(found):
+                            held.append(found)
+                            size += len(found)
+                    if size > SPAN:
+                        cells += np.bincount(np.concatenate(held), minlength=CLASSES**3)
+                        held, size = [], 0
+        if held:
+            cells += np.bincount(np.concatenate(held), minlength=CLASSES**3)
         where = np.flatnonzero(cells)
         yield pd.DataFrame({"cell": where, "n": cells[where]})
 

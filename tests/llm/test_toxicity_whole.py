@@ -1,5 +1,9 @@
 """Disguises that the gate before the lattice left out."""
 
+import itertools
+import random
+
+import numpy as np
 import pytest
 
 from pulsegrid.llm import toxicity
@@ -22,3 +26,46 @@ def test_every_disguise_is_decoded(costs, token, word):
 def test_spaced_words_are_joined(costs, text):
     model = toxicity.ToxicityModel(costs, {})
     assert {"ass", "idiot"} & model.tokens(f"you said {text} again")
+
+
+def test_spans_meet_every_trigram_once(monkeypatch):
+    rng = random.Random(3)
+    assert not list(toxicity._trigrams(""))
+    texts = [" ", "a", " a", "a  b"] + ["".join(rng.choice("abÉ 漢.\n1") for _ in range(rng.randrange(1, 50))) for _ in range(200)]
+    for text in texts:
+        whole = np.concatenate(list(toxicity._trigrams(text)))
+        kinds = [toxicity._class(c) for c in text]
+        kept = [k for i, k in enumerate(kinds) if k or (i and kinds[i - 1])]
+        framed = [0, 0, *kept, 0]
+        size = toxicity.CLASSES
+        want = [(a * size + b) * size + c for a, b, c in zip(framed, framed[1:], framed[2:])]
+        assert whole.tolist() == want
+        for span in (1, 2, 3, 7):
+            monkeypatch.setattr(toxicity, "SPAN", span)
+            assert np.concatenate(list(toxicity._trigrams(text))).tolist() == want
+        monkeypatch.setattr(toxicity, "SPAN", 1 << 19)
+
+
+def test_decoded_readings_are_the_cheapest_of_all():
+    """Every reading of short lattices is spelled out and priced."""
+    rng = np.random.default_rng(1)
+    costs = rng.random(toxicity.CLASSES**3) * 4
+    size = toxicity.CLASSES
+
+    def price(letters, paid):
+        total, x, y = paid, 0, 0
+        for char in letters:
+            kind = toxicity._class(char)
+            if kind or y:
+                total += costs[(x * size + y) * size + kind]
+                x, y = y, kind
+        return total + costs[(x * size + y) * size]
+
+    draw = random.Random(2)
+    for _ in range(60):
+        text = "".join(draw.choice("ab10@$!.- ") for _ in range(draw.randrange(1, 6)))
+        ways = list(itertools.product(*toxicity.lattice(text)))
+        best = min(price("".join(letters for letters, _ in way), sum(cost for _, cost in way)) for way in ways)
+        found, reading = toxicity._cheapest(text, costs)
+        assert abs(found - best) < 1e-9
+        assert any("".join(letters for letters, _ in way) == reading for way in ways)
