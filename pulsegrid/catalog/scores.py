@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.catalog.base import KNOWN, PRED, pred, query, r6, sig_lengths, table
+from pulsegrid.catalog.base import KNOWN, LENGTHS, PRED, SIG, hash_sql, pred, query, r6, sig_lengths, table
 from pulsegrid.operators import aggregates as A
 from pulsegrid.operators import bootstrap as B
 from pulsegrid.operators import metrics as M
@@ -499,7 +499,17 @@ def _retrieved(spark, sf):
     return S.retrieval_scores(steps, 1, 16, 42, temperature=0.5, cosine=True)
 
 
-@query()
+@query(
+    f"""WITH v AS (SELECT label AS record_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS step,
+  row_number() OVER (ORDER BY label, vec_id) - 1 AS idx, count(*) OVER () AS total, count(*) OVER (PARTITION BY label) AS n,
+  list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings),
+d AS (SELECT v.*, {hash_sql(42, "record_id", "step", "k")} % (total - 1) AS at FROM v, (SELECT unnest(range(0, 16)) AS k) WHERE step + 1 < n),
+s AS (SELECT d.record_id, d.step, list_sum(list_transform(list_zip(d.u, f.u), lambda z: z[1] * z[2])) / 0.5 AS hit,
+  list_sum(list_transform(list_zip(d.u, g.u), lambda z: z[1] * z[2])) / 0.5 AS score
+  FROM d JOIN v AS f ON f.idx = d.idx + 1 JOIN v AS g ON g.idx = CASE WHEN d.at >= d.idx + 1 THEN d.at + 1 ELSE d.at END),
+a AS (SELECT record_id, step, ln(1 + sum(exp(score - hit))) AS loss, CAST(any_value(hit) >= max(score) AS DOUBLE) AS hit FROM s GROUP BY 1, 2)
+SELECT record_id, round(avg(loss), 4) + 0.0 AS loss, round(avg(hit), 6) + 0.0 AS hit_rate FROM a GROUP BY 1"""
+)
 def contrastive_hit_rate(spark, sf):
     """M4: loss and hit rate of finding the next vector of the same class."""
     out = _retrieved(spark, sf)
@@ -513,7 +523,15 @@ def retrieval_contract(spark, sf):
     return _retrieved(spark, sf).groupBy("record_id").agg(F.count(F.lit(1)).alias("anchors"), F.bool_and(sane).alias("sane"))
 
 
-@query()
+@query(
+    "WITH " + SIG + ", " + LENGTHS + """,
+c AS (SELECT record_id, data_length, unnest(range(0, data_length, 8)) AS start_idx FROM lengths),
+w AS (SELECT c.record_id, c.start_idx, sum(coalesce(g.value, 0) * cos(g.t - c.start_idx + 1)) AS score
+  FROM c JOIN sig g ON g.record_id = c.record_id AND g.t >= c.start_idx AND g.t < c.start_idx + 8 WHERE c.start_idx + 8 <= c.data_length GROUP BY 1, 2),
+p AS (SELECT 'noagg' AS aggregation, score, record_id % 2 AS target FROM w UNION ALL SELECT 'agg', avg(score), record_id % 2 FROM w GROUP BY record_id)
+SELECT 'odd' AS label, a.aggregation, round(avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END), 6) + 0.0 AS value
+FROM p a JOIN p b ON a.aggregation = b.aggregation AND a.target = 1 AND b.target = 0 GROUP BY a.aggregation"""
+)
 def chunk_scores_by_record(spark, sf):
     """Chunks scored, joined per record and evaluated."""
     from pulsegrid.catalog.base import sig
