@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.catalog.base import LENGTHS, SIG, hash_sql, query, r6, sig, sig_lengths, table
 from pulsegrid.operators import aggregates as A
 from pulsegrid.operators import chunks as C
+from pulsegrid.operators import kernels
 from pulsegrid.operators import reshape as R
 from pulsegrid.operators import signal as G
 from pulsegrid.operators.joins import attach_intervals
@@ -169,12 +170,35 @@ def resample_linear_up(spark, sf):
     return G.resample_linear(sig(spark, sf), 2, 3, REC).select("record_id", "t", r6("value").alias("value"))
 
 
-@query()
+def _bessel_sql(x):
+    """The modified Bessel function of order zero, as its power series."""
+    return f"list_sum(list_transform(range(0, 60), lambda k: pow(({x}) * ({x}) / 4, k) / pow(gamma(k + 1), 2)))"
+
+
+def _sinc_sql(fs, target):
+    """Every output as a sum over all samples within the window."""
+    zeros, rolloff, beta, scale = kernels.SINC_ZEROS, kernels.SINC_ROLLOFF, kernels.SINC_BETA, min(1.0, target / fs)
+    return f"""WITH {SIG}, l AS (SELECT record_id, max(t) + 1 AS n FROM sig GROUP BY 1),
+o AS (SELECT record_id, unnest(range(0, n * {target} // {fs})) AS t FROM l),
+w AS (SELECT o.record_id, o.t, g.value, {scale!r}::DOUBLE * (o.t * {fs / target!r}::DOUBLE - g.t) AS u FROM o JOIN sig g ON g.record_id = o.record_id
+  AND abs({scale!r}::DOUBLE * (o.t * {fs / target!r}::DOUBLE - g.t)) < {zeros}),
+b AS MATERIALIZED (SELECT {_bessel_sql(repr(float(beta)) + "::DOUBLE")} AS whole)
+SELECT record_id, t, round(sum(value * {scale!r}::DOUBLE * {rolloff!r}::DOUBLE * CASE WHEN u = 0 THEN 1.0 ELSE sin(pi() * {rolloff!r}::DOUBLE * u) / (pi() * {rolloff!r}::DOUBLE * u) END
+  * {_bessel_sql(f"{float(beta)!r}::DOUBLE * sqrt(1 - (u / {zeros}) * (u / {zeros}))")} / whole), 6) + 0.0 AS value FROM w, b GROUP BY record_id, t"""
+
+
+@query(_sinc_sql(5, 2))
 def resample_sinc(spark, sf):
     """Band-limited resampling in blocks."""
     return G.resample_sinc(sig(spark, sf), 5, 2, REC, block=64).select("record_id", "t", r6("value").alias("value"))
 
 
+@query(_sinc_sql(3, 4))
+def resample_sinc_up(spark, sf):
+    """Band-limited resampling to a higher rate."""
+    return G.resample_sinc(sig(spark, sf), 3, 4, REC, block=64).select("record_id", "t", r6("value").alias("value"))
+
+
 _LEADS = ["click", "view", "missing", "error"]
 
 

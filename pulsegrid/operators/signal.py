@@ -186,9 +186,13 @@ def _map_blocks(blocks: DataFrame, by: Sequence[str], work, out_type: str = "arr
 def resample_sinc(
     sig: DataFrame, fs: int, target: int, by: Sequence[str] = RECORD, block: int = 4096
 ) -> DataFrame:
-    """Band-limited resampling with a Kaiser-windowed sinc, block by block."""
-    if target > fs:
-        raise ValueError("the target rate exceeds the source rate")
+    """Band-limited resampling with a Kaiser-windowed sinc, block by block, to a lower or a higher rate.
+
+    Output ``n`` lies at source position n * fs / target; there are
+    floor(length * target / fs) of them.
+    """
+    if fs <= 0 or target <= 0:
+        raise ValueError("rates must be positive")
     reach = kernels.sinc_reach(fs, target) + int(np.ceil(fs / target))
     blocks = context_blocks(sig, block, reach, reach, by)
 
