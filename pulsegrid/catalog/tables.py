@@ -495,12 +495,16 @@ def failure_split(spark, sf):
     )
 
 
-@query()
+@query(
+    "SELECT 'patient=' || CAST(k AS VARCHAR) AS folder, k AS folder_id, CAST(0 AS INTEGER) AS corrupt, CAST(1 AS BIGINT) AS files"
+    " FROM (SELECT DISTINCT o_custkey % 97 AS k FROM orders) UNION ALL SELECT 'patient1013', CAST(1013 AS BIGINT), CAST(1 AS INTEGER), CAST(1 AS BIGINT)"
+)
 def file_audit(spark, sf):
-    """Catalogue and check every written Parquet file of a folder."""
+    """Catalogue and check every written file: a folder per group of customers, and one of another format."""
     root = scratch_path(spark, "audit")
-    table(spark, sf, "orders").repartition(4, "o_orderkey").write.parquet(f"{root}/patient012")
-    table(spark, sf, "nation").write.csv(f"{root}/patient013")
+    orders = table(spark, sf, "orders").withColumn("patient", F.col("o_custkey") % 97)
+    orders.repartition("patient").write.partitionBy("patient").parquet(f"{root}/records")
+    table(spark, sf, "nation").coalesce(1).write.csv(f"{root}/patient1013")
 
     def check(content: bytes) -> None:
         if content[:4] != b"PAR1" or content[-4:] != b"PAR1":
