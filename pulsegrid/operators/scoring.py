@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from pulsegrid.operators.aggregates import stitch_overlap
 from pulsegrid.scale import position, running_sum, seeded_hash
-from pulsegrid.session import cut
+from pulsegrid.session import cut, small_rows
 
 Scorer = Callable[[np.ndarray], np.ndarray]
 CHUNK_SLICE = 4096
@@ -164,7 +164,7 @@ def fit_probe(rows: DataFrame, vector: str, targets: Sequence[str], iterations:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
         lanes = table.mapInArrow(add, "sums binary").repartition(LANES).mapInArrow(merge, "sums binary")
-        total = sum((np.frombuffer(r["sums"]).reshape(k, -1) for r in lanes.collect()), np.zeros((k, size + 3)))
+        total = sum((np.frombuffer(r["sums"]).reshape(k, -1) for r in small_rows(lanes, LANES)), np.zeros((k, size + 3)))
         shared.destroy()
         n = np.maximum(total[:, size + 1], 1.0)
         ridge = np.hstack([at[:, :width], np.zeros((k, 1))])

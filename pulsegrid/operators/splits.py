@@ -16,7 +16,7 @@ from pulsegrid.operators.aggregates import group_label_counts
 from pulsegrid.operators.joins import attach_split, flag_lookup
 from pulsegrid.operators.reshape import align_union, duplicate_flag, first_per_patient, sample_exact
 from pulsegrid.scale import position, seeded_hash, unit_interval
-from pulsegrid.session import cut
+from pulsegrid.session import cut, small_rows
 
 # --- fixed values -----------------------------------------------------------
 GOLDEN = 0.6180339887498949
@@ -142,9 +142,7 @@ def stratify(counts: DataFrame, group: str, ratios: Sequence[float], seed: int,
     shares = np.array(ratios, dtype=float)
     counts = cut(counts.where(F.col("n") > 0))
     totals = counts.groupBy("label").agg(F.sum("n").alias("_total"))
-    found = {r["label"]: r["_total"] for r in totals.limit(MAX_LABELS + 1).collect()}
-    if len(found) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+    found = {r["label"]: r["_total"] for r in small_rows(totals, MAX_LABELS)}
     need = {label: shares * n for label, n in found.items()}
 
     unit = unit_interval(seeded_hash(seed + 7, group))
@@ -163,7 +161,7 @@ def stratify(counts: DataFrame, group: str, ratios: Sequence[float], seed: int,
     )
     per_group = cut(per_group)
     heavy = per_group.where("_heavy").select(group, F.explode("_held").alias("_c")).select(group, "_c.label", "_c.n")
-    placed = place_heavy([tuple(r) for r in heavy.collect()], found, need, seed)
+    placed = place_heavy([tuple(r) for r in small_rows(heavy, HEAVY * k * len(found) ** 2)], found, need, seed)
     kind = counts.schema[group].dataType
     fields = StructType([StructField(group, kind), StructField("subset", IntegerType())])
     done = [spark.createDataFrame(list(placed.items()), fields)]
@@ -177,7 +175,7 @@ def stratify(counts: DataFrame, group: str, ratios: Sequence[float], seed: int,
     at = F.col("_pos") * F.lit(GOLDEN) + turn
     walked = walked.select(group, "_stratum", "_batch", "_held", (-F.col("_weight")).alias("_weight"), (at - F.floor(at)).alias("_at"))
     amounts = defaultdict(dict)
-    for r in walked.groupBy("_batch", "_stratum").agg(F.sum("_weight").alias("n")).collect():
+    for r in small_rows(walked.groupBy("_batch", "_stratum").agg(F.sum("_weight").alias("n")), (buckets + HALVES) * len(found)):
         amounts[r["_batch"]][r["_stratum"]] = r["n"]
     label_type = counts.schema["label"].dataType
     edge_type = StructType([StructField("_label", label_type), StructField("_edges", ArrayType(DoubleType()))])
@@ -191,9 +189,9 @@ def stratify(counts: DataFrame, group: str, ratios: Sequence[float], seed: int,
         dealt = rows.join(table, F.col("_stratum").eqNullSafe(F.col("_label"))).select(group, subset.alias("subset"), "_held")
         done.append(dealt.drop("_held"))
         cells = dealt.select("subset", F.explode("_held").alias("_c")).groupBy("_c.label", "subset").agg(F.sum("_c.n").alias("n"))
-        for r in cells.collect():
+        for r in small_rows(cells, k * len(found)):
             need[r["label"]][r["subset"]] -= r["n"]
-    last = place_heavy([tuple(r) for r in reserve.collect()], found, need, seed + 1)
+    last = place_heavy([tuple(r) for r in small_rows(reserve, 2 * RESERVE * len(found))], found, need, seed + 1)
     done.append(spark.createDataFrame(list(last.items()), fields))
     return reduce(DataFrame.union, done)
 

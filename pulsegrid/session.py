@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def get_session(app_name: str = "pulsegrid", cpus: str | int | None = None) -> SparkSession:
@@ -60,3 +60,10 @@ def cut(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
+
+def small_rows(df: DataFrame, most: int) -> list[Row]:
+    """All rows of a result whose size has a bound that does not grow with the data; more are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows where at most that many can be")
+    return rows
