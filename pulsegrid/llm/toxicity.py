@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,11 @@ _EDGE = " .,;:?\"'()[]{}<>#%&*_~^`/\\=-…“”‘’«»"
 _SIGNS = "".join(map(re.escape, LOOKALIKE))
 _MARKS = "".join(re.escape(c) for c in LOOKALIKE if not c.isalnum())
 _SUSPECT = re.compile(rf"[{_SIGNS}]|([^\W\d_])\1|(?:[^\W\d_][._*~-]+){{2}}[^\W\d_]")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 _SPACED = re.compile(rf"(?<![\w{_SIGNS}])(?:[^\W_](?:\s|[._*~-]){{1,2}}|[{_MARKS}]\s){{2,}}(?:[^\W_]|[{_MARKS}])(?![\w])")
+# Every spaced-out word holds this, and few other texts do.
+_PERHAPS_SPACED = re.compile(rf"[\s._*~-](?:[^\W_]|[{_MARKS}])(?:\s|[._*~-]){{1,2}}(?:[^\W_]|[{_MARKS}])(?![\w])")
 
 
 @lru_cache(maxsize=1)
@@ -115,40 +120,47 @@ def fit_characters(docs: DataFrame, text: str = "text") -> np.ndarray:
     return -np.log(trigram).ravel()
 
 
+def _readings(char: str, n: int) -> list[tuple[str, float]]:
+    if char.isalpha():
+        return [(char, 0.0)] if n == 1 else [(char * 2, 0.0 if n == 2 else HALVED), (char, HALVED)]
+    if char in SEPARATORS or char.isspace():
+        return [("", DROPPED), (" ", BROKEN if n == 1 else DROPPED)]
+    if char in LOOKALIKE:
+        readings = [(c * k, SUBSTITUTED) for c in LOOKALIKE[char] for k in range(1, min(n, 2) + 1)]
+        return [*readings, (" ", KEPT), ("", KEPT)]
+    return [(" ", 0.0)]
+
+
+@lru_cache(maxsize=4096)
+def _steps(char: str, n: int) -> list[tuple[str, float, list[int]]]:
+    """Readings of a run with the classes of their letters."""
+    return [(letters, price, [_class(c) for c in letters]) for letters, price in _readings(char, n)]
+
+
 def lattice(text: str) -> list[list[tuple[str, float]]]:
     """Readings of each run of equal characters: (letters, cost)."""
-    out = []
-    for run in re.finditer(r"(.)\1*", text, re.DOTALL):
-        char, n = run[1], len(run[0])
-        if char.isalpha():
-            out.append([(char, 0.0)] if n == 1 else [(char * 2, 0.0 if n == 2 else HALVED), (char, HALVED)])
-        elif char in SEPARATORS or char.isspace():
-            out.append([("", DROPPED), (" ", BROKEN if n == 1 else DROPPED)])
-        elif char in LOOKALIKE:
-            readings = [(c * k, SUBSTITUTED) for c in LOOKALIKE[char] for k in range(1, min(n, 2) + 1)]
-            out.append([*readings, (" ", KEPT), ("", KEPT)])
-        else:
-            out.append([(" ", 0.0)])
-    return out
+    return [_readings(char, len(list(same))) for char, same in groupby(text)]
 
 
 def _cheapest(text: str, costs: np.ndarray) -> tuple[float, str]:
     """Cost and letters of the cheapest reading of a lattice; the state is the last two letter classes."""
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for readings in lattice(text):
-        following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (cost, trail) in states.items():
-            for letters, price in readings:
-                total, x, y = cost + price, a, b
-                for char in letters:
-                    kind = _class(char)
-                    if kind or y:
-                        total += costs[(x * CLASSES + y) * CLASSES + kind]
-                        x, y = y, kind
-                if (x, y) not in following or total < following[x, y][0]:
-                    following[x, y] = (total, (trail, letters))
+    prices = memoryview(costs)  # plain numbers, not copied
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # the class before the last times CLASSES, and the last
+    for char, same in groupby(text):
+        following: dict[int, tuple[float, tuple | None]] = {}
+        steps = _steps(char, min(3, len(list(same))))  # a fourth equal character adds no reading
+        for state, (cost, trail) in states.items():
+            for letters, price, kinds in steps:
+                total, at = cost + price, state
+                for kind in kinds:
+                    last = at % CLASSES
+                    if kind or last:
+                        total += prices[at * CLASSES + kind]
+                        at = last * CLASSES + kind
+                if at not in following or total < following[at][0]:
+                    following[at] = (total, (trail, letters))
         states = following
-    whole = {s: cost + costs[(s[0] * CLASSES + s[1]) * CLASSES] for s, (cost, _) in states.items()}
+    whole = {s: cost + prices[s * CLASSES] for s, (cost, _) in states.items()}
     end = min(whole, key=whole.get)
     trail, out = states[end][1], []
     while trail is not None:
@@ -171,8 +183,10 @@ def _forms(token: str) -> list[str]:
 
 def restore_token(token: str, costs: np.ndarray) -> list[str]:
     """Words that a lower-case token may stand for: as written, and as decoded if it may be disguised."""
+    if token.isalpha():  # letters alone: no sign to strip or to split at
+        return [token, *decode(token, costs).split()] if _DOUBLED.search(token) else [token]
     forms = _forms(token)
-    words = [w for w in re.split(r"[\W\d_]+", forms[0]) if w]
+    words = [w for w in _NO_LETTERS.split(forms[0]) if w]
     for form in forms:
         if _SUSPECT.search(form):
             words += decode(form, costs).split()
@@ -190,11 +204,8 @@ def restore_text(text: str, costs: np.ndarray) -> str:
     return re.sub(r"\S+", one, joined)
 
 
-def _features(word: str):
-    yield "=" + word
-    for n in (4, 5, 6):
-        if len(word) > n:
-            yield word[:n]
+def _features(word: str) -> list[str]:
+    return ["=" + word, *[word[:n] for n in (4, 5, 6)[: max(0, len(word) - 4)]]]
 
 
 @dataclass
@@ -205,37 +216,42 @@ class ToxicityModel:
     weights: dict[str, float]
     bias: float = -1.0
     _clean: set = field(default_factory=set, repr=False)
+    _older: set = field(default_factory=set, repr=False)
     _known: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "_clean": set(), "_known": {}}
+        return {**self.__dict__, "_clean": set(), "_older": set(), "_known": {}}
 
     def tokens(self, text: str) -> set[str]:
         low = text.lower()
         found = set(low.split())
-        for match in _SPACED.finditer(low):
-            found.update(decode(match[0], self.costs).split())
+        if _PERHAPS_SPACED.search(low):
+            for match in _SPACED.finditer(low):
+                found.update(decode(match[0], self.costs).split())
         return found
 
     def hits(self, text: str | None) -> set[str]:
-        """Distinct weighted features of a text; tokens without any are remembered."""
+        """Distinct weighted features of a text; tokens without any are remembered, in two generations."""
         out: set[str] = set()
         if not isinstance(text, str):
             return out
-        for token in self.tokens(text) - self._clean:
+        new = self.tokens(text) - self._clean
+        again = new & self._older
+        self._clean |= again
+        for token in new - again:
             names = self._known.get(token)
             if names is None:
                 words = restore_token(token, self.costs)
                 names = tuple(n for w in words for n in _features(w) if n in self.weights)
                 if not names:
-                    if len(self._clean) > CLEAN:
-                        self._clean.clear()
                     self._clean.add(token)
                     continue
                 if len(self._known) > KNOWN:
                     self._known.clear()
                 self._known[token] = names
             out.update(names)
+        if len(self._clean) > CLEAN // 2:
+            self._clean, self._older = set(), self._clean
         return out
 
     def score(self, text: str | None) -> float:

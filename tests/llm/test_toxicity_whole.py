@@ -69,3 +69,24 @@ def test_decoded_readings_are_the_cheapest_of_all():
         found, reading = toxicity._cheapest(text, costs)
         assert abs(found - best) < 1e-9
         assert any("".join(letters for letters, _ in way) == reading for way in ways)
+
+
+def test_frequent_tokens_are_restored_once(monkeypatch):
+    """Rare tokens that fill the memory do not push out those met in every text; scores stay those of an empty memory."""
+    monkeypatch.setattr(toxicity, "CLEAN", 40)
+    costs = np.random.default_rng(6).random(toxicity.CLASSES**3) * 4
+    met, restore = [], toxicity.restore_token
+    monkeypatch.setattr(toxicity, "restore_token", lambda token, costs: met.append(token) or restore(token, costs))
+    model = toxicity.ToxicityModel(costs, {"=idiot": 2.0})
+    texts = [f"often seen word{i} other{i}" + " idiot" * (i % 3 == 0) for i in range(300)]
+    scores = [model.score(t) for t in texts]
+    assert met.count("often") == met.count("seen") == 1
+    assert scores == [toxicity.ToxicityModel(costs, {"=idiot": 2.0}).score(t) for t in texts]
+
+
+def test_spaced_words_pass_the_quick_look():
+    """No text with a spaced-out word is passed over by the expression tried first."""
+    signs, rng = "aabs01@$!|+.-_*~  \t\né二²€", np.random.default_rng(7)
+    texts = ["".join(rng.choice(list(signs), rng.integers(3, 30))) for _ in range(4000)]
+    spaced = [t for t in texts if toxicity._SPACED.search(t)]
+    assert len(spaced) > 200 and all(toxicity._PERHAPS_SPACED.search(t) for t in spaced)
